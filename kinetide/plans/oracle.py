@@ -155,6 +155,29 @@ lo AS (SELECT vec_id, fold, y, sum(CASE WHEN c = 1 THEN l ELSE -l END) + ln(max(
 sc AS (SELECT fold AS model_id, y AS label, 1 / (1 + exp(-z)) AS score, CAST(z > 0 AS INTEGER) AS predicted FROM lo)"""
 
 
+def window_bayes() -> str:
+    melt = " UNION ALL ".join(f"SELECT window_id, day_str AS fold, label, 'x_{s}' AS j, x_{s} AS v FROM ft" for s in STATS)
+    return f"""em AS ({melt}),
+fo AS""" + naive_bayes().split(",\nfo AS")[1].replace("vec_id", "window_id")
+
+
+def bayes_bootstrap() -> str:
+    """Training rows of a resample are the day's rows times its multiplicity, so moments are weighted sums."""
+    return f"""WITH dd AS (SELECT 'd' || (vec_id % 5) AS day FROM embeddings), {draws('dd', 50)},
+ct AS (SELECT rep, day, count(*) AS mult FROM drawn GROUP BY 1, 2),
+pl AS (SELECT a.rep, a.day AS test, b.day AS train, b.mult FROM ct a JOIN ct b ON a.rep = b.rep AND a.day <> b.day),
+em AS (SELECT vec_id, 'd' || (vec_id % 5) AS day, CAST(label >= 5 AS INTEGER) AS label, unnest(range(1, 65)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+dm AS (SELECT day, label, j, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM em GROUP BY 1, 2, 3),
+tr AS (SELECT rep, test, label, j, sum(mult * n) AS n, sum(mult * s) AS s, sum(mult * q) AS q FROM pl JOIN dm ON dm.day = pl.train GROUP BY 1, 2, 3, 4),
+al AS (SELECT rep, test, j, sum(q) / sum(n) - power(sum(s) / sum(n), 2) AS s2 FROM tr GROUP BY 1, 2, 3),
+mo AS (SELECT tr.rep, tr.test, label, tr.j, n, s / n AS mu, q / n - power(s / n, 2) + 1e-9 * s2 AS vv FROM tr JOIN al USING (rep, test, j)),
+pr AS (SELECT rep, test, max(n) FILTER (WHERE label = 1) AS n1, max(n) FILTER (WHERE label = 0) AS n0 FROM mo GROUP BY 1, 2),
+ll AS (SELECT mo.rep, mo.test, em.vec_id, em.label AS y, sum((CASE WHEN mo.label = 1 THEN 1 ELSE -1 END) * (-0.5 * ln(vv) - (v - mu) * (v - mu) / (2 * vv))) AS l
+  FROM em JOIN mo ON mo.test = em.day AND mo.j = em.j GROUP BY 1, 2, 3, 4),
+sc AS (SELECT rep || '|' || test AS model_id, rep, y AS label, l + ln(n1) - ln(n0) AS score FROM ll JOIN pr USING (rep, test)), {auc('sc', 'rep, model_id')}
+SELECT rep, {r('avg(auc)', 'mean_auc')} FROM aucs WHERE auc IS NOT NULL GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["lookback_windows"] = f"WITH {EV}, {MK}, {looks(T.LOOKBACK, 3)} SELECT * FROM pos"
@@ -327,4 +350,35 @@ SELECT count(*) AS n_paired, {r('avg(d)', 'mean_diff')}, {r('quantile_cont(d, 0.
 {r('100.0 * avg(CASE WHEN d > 0 THEN 1 ELSE 0 END)', 'pct_better')}, false AS cross_population, quantile_cont(d, 0.025) > 0 AS significant FROM df"""
     q["naive_bayes_cv"] = f"""WITH {naive_bayes()}, {auc('sc', 'model_id')}, cf AS (SELECT model_id, {CONF} FROM sc GROUP BY 1)
 SELECT model_id, {r('auc', 'auc')}, {r(F1, 'f1')} FROM aucs JOIN cf USING (model_id)"""
+    q["window_bayes_cv"] = f"""WITH {feature_table()}, {window_bayes()}, {auc('sc', 'model_id')}, cf AS (SELECT model_id, {CONF} FROM sc GROUP BY 1)
+SELECT model_id, {r('auc', 'auc')}, {r(F1, 'f1')} FROM aucs JOIN cf USING (model_id) WHERE auc IS NOT NULL"""
+    q["fft_features"] = f"""WITH {EV}, {MK}, {looks(T.LOOKBACK)},
+sa AS (SELECT p.window_id, e.x, row_number() OVER (PARTITION BY p.window_id ORDER BY e.t) - 1 AS j, count(*) OVER (PARTITION BY p.window_id) AS n
+  FROM pos p JOIN ev e ON e.session_id = p.session_id AND e.t >= p.start_t AND e.t < p.end_t),
+bn AS (SELECT *, unnest(range(n // 2 + 1)) AS k FROM sa),
+ft AS (SELECT window_id, n, k, k * 16.0 / n AS f, power(sum(x * cos(2 * pi() * ((k * j) % n) / n)), 2) + power(sum(x * sin(2 * pi() * ((k * j) % n) / n)), 2) AS p FROM bn GROUP BY 1, 2, 3)
+SELECT window_id, n AS n_samples, {r("CASE WHEN n < 4 THEN 0 ELSE arg_max(f, p) END", "x_dominant_freq")},
+{r("CASE WHEN n < 4 THEN 0 ELSE coalesce(sum(p) FILTER (WHERE f < 5), 0) * 16.0 / n END", "x_power_0_5hz", 2)},
+{r("CASE WHEN n < 4 THEN 0 ELSE coalesce(sum(p) FILTER (WHERE f >= 5 AND f < 15), 0) * 16.0 / n END", "x_power_5_15hz", 2)} FROM ft GROUP BY window_id, n"""
+    q["feature_parity"] = "SELECT 'x_' || s AS feature, true AS agrees FROM (VALUES ('mean'), ('std'), ('min'), ('max'), ('rms'), ('zcr')) AS v(s)"
+    q["packet_decode"] = f"""WITH {EV}, k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS key,
+row_number() OVER (PARTITION BY session_id, day_str ORDER BY t) - 1 AS i FROM ev)
+SELECT session_id || '_' || day_str AS session_id, i * 40 + 2 AS file_offset, (t // 1000) % 4294967296 AS timestamp_ms,
+CAST(floor(x * 10) AS SMALLINT) AS accel_x, CAST(event_id % 30000 AS SMALLINT) AS accel_y, CAST(-(event_id % 30000) AS SMALLINT) AS accel_z,
+CAST(key AS SMALLINT) AS gyro_x, CAST(-key AS SMALLINT) AS gyro_y, CAST(length(event_type) AS SMALLINT) AS gyro_z,
+CAST(floor(value * 1000) AS BIGINT) AS ppg_ir, event_id AS ppg_red, CAST(1 + (event_id % 8) / 8.0 AS DOUBLE) AS ambient_c, CAST(1 + (event_id % 4) / 4.0 AS DOUBLE) AS object_c FROM k"""
+    q["cooldown_alerts"] = f"""WITH RECURSIVE {EV}, hot AS (SELECT session_id, event_id, t FROM ev WHERE value / 100.0 >= 0.3),
+fire AS (SELECT session_id, min(t) AS t FROM hot GROUP BY 1 UNION ALL
+  SELECT h.session_id, min(h.t) AS t FROM fire f JOIN hot h ON h.session_id = f.session_id AND h.t >= f.t + {24 * H} GROUP BY h.session_id)
+SELECT ev.session_id, ev.event_id AS eval_id, f.t IS NOT NULL AS alert_fired, h.t IS NOT NULL AND f.t IS NULL AS suppressed_by_cooldown
+FROM ev LEFT JOIN hot h ON h.event_id = ev.event_id LEFT JOIN fire f ON f.session_id = ev.session_id AND f.t = ev.t AND h.t IS NOT NULL"""
+    q["live_scoring"] = f"""WITH {EV}, tk AS (SELECT session_id, min(t) AS t FROM ev GROUP BY session_id, t // {D}),
+w AS (SELECT tk.session_id, tk.t, count(*) AS n, avg(x) AS m, max(x) AS mx FROM tk JOIN ev ON ev.session_id = tk.session_id AND ev.t BETWEEN tk.t - {T.LOOKBACK} AND tk.t GROUP BY 1, 2)
+SELECT 'e:' || session_id || ':' || t AS window_id, session_id, n AS n_samples, {r('1 / (1 + exp(-(0.1 + (m - 0.0) / 20.0 * 1.0 + (mx - 100.0) / 50.0 * 0.5)))', 'probability')} FROM w WHERE n >= {T.LEAST}"""
+    slide = f"""{EV}, sl AS (SELECT session_id, x, t, (t // {D} + 1 + k) * {D} AS window_end FROM ev, range(3) AS s(k))"""
+    columns = f"count(*) AS n_samples, {r('avg(x)', 'x_mean')}, {r('stddev_pop(x)', 'x_std')}, {r('min(x)', 'x_min')}, {r('max(x)', 'x_max')}, {r('sqrt(avg(x * x))', 'x_rms')}"
+    q["sliding_features"] = f"WITH {slide} SELECT session_id, window_end, {columns} FROM sl GROUP BY 1, 2 HAVING count(*) >= {T.LEAST}"
+    q["stream_sliding_features"] = f"""WITH {slide} SELECT session_id, window_end, {columns} FROM sl
+WHERE window_end <= (SELECT max(t) // 1000 * 1000 - 10000000 FROM ev) GROUP BY 1, 2 HAVING count(*) >= {T.LEAST}"""
+    q["bayes_bootstrap"] = bayes_bootstrap()
     return q

@@ -1,13 +1,20 @@
 """Registered queries: every operator on the driver's tables, whole tables each time."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetide.operators import audit, bootstrap, cardiac, cleaning, features, intervals, matching, metrics, validation, windows
-from kinetide.operators.ordered import exact_percentiles, rank_buckets
+from kinetide.operators import (
+    alerts, audit, augment, bootstrap, cardiac, cleaning, features, intervals, matching, metrics, models, spectral, validation, windows,
+)
+from kinetide.operators.ordered import exact_percentiles
 from kinetide.plans import tables as T
+from kinetide.session import cut_lineage, ensure_checkpoint_dir
+from kinetide.sources import packets
+from kinetide.sources.recordings import TIMESTAMP_SOURCES
+from kinetide.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,7 +209,6 @@ def positional_zip(spark, sf_dir):
 @query
 def source_override(spark, sf_dir):
     names = T.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("exp-"), F.col("s_suppkey").cast("string")).alias("name"))
-    from kinetide.sources.recordings import TIMESTAMP_SOURCES
     mapping = spark.createDataFrame(list(TIMESTAMP_SOURCES.items()), "name string, source string")
     return matching.coalesce_override(names, mapping, "name").select("s_suppkey", "name", "source")
 
@@ -501,3 +507,242 @@ def paired_diff(spark, sf_dir):
 def naive_bayes_cv(spark, sf_dir):
     rows, names = T.embeddings(spark, sf_dir)
     return rounded(metrics.fold_scores(validation.bayes(rows, names), ["model_id"]))
+
+
+@query
+def logistic_cv(spark, sf_dir):
+    rows, names = T.embeddings(spark, sf_dir)
+    return rounded(metrics.fold_scores(validation.logistic(rows.persist(), names), ["model_id"]))
+
+
+@query
+def weighted_logistic_cv(spark, sf_dir):
+    """Row weights 0.5 for the first two labels, as for down-weighted positives."""
+    rows, names = T.embeddings(spark, sf_dir)
+    weighted = rows.withColumn("w", F.when(F.col("label") == 1, 0.5).otherwise(1.0)).persist()
+    return rounded(metrics.fold_scores(validation.logistic(weighted, names, weight="w"), ["model_id"]))
+
+
+@query
+def window_logistic_cv(spark, sf_dir):
+    """The whole path: windows, features, leave-one-day-out fits, scores."""
+    rows = checkpointed(labelled_features(spark, sf_dir))
+    return rounded(metrics.fold_scores(validation.logistic(rows, STAT_NAMES), ["model_id"]))
+
+
+@query
+def all_negatives_cv(spark, sf_dir):
+    rows = checkpointed(labelled_features(spark, sf_dir, all_negatives=True))
+    return rounded(validation.evaluate(validation.logistic(rows, STAT_NAMES)))
+
+
+@query
+def window_bayes_cv(spark, sf_dir):
+    rows = checkpointed(labelled_features(spark, sf_dir))
+    return rounded(metrics.fold_scores(validation.bayes(rows, STAT_NAMES), ["model_id"]))
+
+
+@query
+def elastic_net_cv(spark, sf_dir):
+    rows = checkpointed(labelled_features(spark, sf_dir)).withColumn("week", F.substring("day_str", 1, 9))
+    scored, choice = validation.elastic_net(rows, STAT_NAMES, group="week")
+    return rounded(metrics.fold_scores(scored, ["model_id"]).join(choice, "model_id"))
+
+
+@query
+def conditional_logit_cv(spark, sf_dir):
+    rows = checkpointed(labelled_features(spark, sf_dir).withColumn("idx", F.xxhash64("window_id")))
+    return rounded(metrics.fold_scores(validation.conditional(rows, STAT_NAMES, T.HOUR, t="end_t"), ["model_id"]))
+
+
+@query
+def population_prior(spark, sf_dir):
+    """L2 fit over all rows with its scaler, and Wald tests of the unpenalised fit."""
+    rows, names = T.embeddings(spark, sf_dir)
+    rows = rows.persist()
+    prior = validation.fit_all(rows, names, C=1.0, balanced=False).coefficients(spark)
+    tests = models.wald_tests(validation.fit_all(rows, names, C=1.0, balanced=False, l2=0.0))
+    table = spark.createDataFrame([(t["feature"], t["se"], t["p"]) for t in tests], "feature string, se double, p double")
+    return rounded(prior.join(table, "feature").drop("model_id"))
+
+
+@query
+def informed_prior_cv(spark, sf_dir):
+    """Prior from the other half of the labels' vectors, all penalties at once."""
+    rows, names = T.embeddings(spark, sf_dir)
+    rows = rows.persist()
+    fitted = validation.fit_all(rows, names, C=1.0, balanced=False)
+    scored = validation.informed(rows, names, (fitted.coef / fitted.scale)[0])
+    return rounded(validation.evaluate(scored, ["lam"]))
+
+
+@query
+def holdout_eval(spark, sf_dir):
+    rows, names = T.embeddings(spark, sf_dir)
+    rows = rows.persist()
+    return rounded(validation.holdout_report(rows, validation.holdout(rows, names)))
+
+
+@query
+def rf_cv(spark, sf_dir):
+    rows, names = T.embeddings(spark, sf_dir)
+    return rounded(metrics.fold_scores(validation.trees(rows, names, validation.forest, balanced=True), ["model_id"]))
+
+
+@query
+def gbt_cv(spark, sf_dir):
+    rows, names = T.embeddings(spark, sf_dir)
+    return rounded(metrics.fold_scores(validation.trees(rows, names, validation.boosting, balanced=False), ["model_id"]))
+
+
+@query
+def bayes_bootstrap(spark, sf_dir):
+    """Day-block replicates of naive Bayes with multiplicity-weighted moments."""
+    rows, names = T.embeddings(spark, sf_dir)
+    draws = bootstrap.day_draws(rows, 50)
+    return rounded(bootstrap.replicates(rows.persist(), names, draws, bootstrap.bayes_scorer()))
+
+
+@query
+def logistic_bootstrap(spark, sf_dir):
+    rows, names = T.embeddings(spark, sf_dir)
+    draws = bootstrap.day_draws(rows, 50)
+    return rounded(bootstrap.interval(bootstrap.replicates(rows.persist(), names, draws, bootstrap.logistic_scorer(names))))
+
+
+# --- signals -------------------------------------------------------------------------------------------------------
+
+
+@query
+def fft_features(spark, sf_dir):
+    arrays = spectral.window_arrays(T.samples(spark, sf_dir), lookbacks(spark, sf_dir), ["x"], T.LOOKBACK)
+    found = spectral.array_features(arrays, ["x"], fs=16.0)
+    return found.select("window_id", "n_samples", F.round("x_dominant_freq", 6).alias("x_dominant_freq"),
+                        F.round("x_power_0_5hz", 2).alias("x_power_0_5hz"), F.round("x_power_5_15hz", 2).alias("x_power_5_15hz"))
+
+
+@query
+def feature_parity(spark, sf_dir):
+    """Aggregates and array code agree on the time-domain features of every window."""
+    samples, looks = T.samples(spark, sf_dir), lookbacks(spark, sf_dir)
+    native = features.window_features(samples, looks, ["x"], T.LOOKBACK)
+    arrays = spectral.array_features(spectral.window_arrays(samples, looks, ["x"], T.LOOKBACK), ["x"], 16.0, with_time_stats=True)
+    return features.max_difference(native.select("window_id", *STAT_NAMES), arrays.select("window_id", *STAT_NAMES), STAT_NAMES).select(
+        "feature", (F.col("max_abs_diff") < 1e-9).alias("agrees"))
+
+
+@query
+def ppg_hr(spark, sf_dir):
+    """Pulse features of the value series of each long window (25 ms of millisecond clock per sample)."""
+    ev = T.events(spark, sf_dir).select("session_id", "t", F.col("value").alias("ppg_ir"), "x")
+    arrays = spectral.window_arrays(ev, lookbacks(spark, sf_dir, T.BEAT_SPAN), ["x", "ppg_ir"], T.BEAT_SPAN)
+    return rounded(spectral.array_features(arrays, ["x"], 50.0, pulse=True).select("window_id", *spectral.PULSE_STATS), 4)
+
+
+@query
+def beat_detection(spark, sf_dir):
+    ev = T.events(spark, sf_dir).select("session_id", "t", F.col("value").alias("ppg_ir"))
+    return spectral.beats(spectral.window_arrays(ev, lookbacks(spark, sf_dir, T.BEAT_SPAN), ["ppg_ir"], T.BEAT_SPAN))
+
+
+@query
+def emg_candidates(spark, sf_dir):
+    ev = T.events(spark, sf_dir).select("session_id", "t", F.col("value").cast("int").alias("emg_raw"))
+    return intervals.find_candidates(ev, factor=1.02, min_gap=12 * T.HOUR, min_duration=6 * T.HOUR, width=7 * T.DAY)
+
+
+@query
+def augmented_windows(spark, sf_dir):
+    """Originals and altered copies of every lookback window, with features taken again from each copy."""
+    arrays = spectral.window_arrays(T.samples(spark, sf_dir), lookbacks(spark, sf_dir), ["x"], T.LOOKBACK, T.LEAST)
+    copies = augment.augment(arrays, ["x"], list(augment.AUGMENTATIONS))
+    found = spectral.array_features(copies, ["x"], 16.0, with_time_stats=True)
+    return rounded(found.groupBy("augmentation").agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in STAT_NAMES]), 3)
+
+
+@query
+def packet_decode(spark, sf_dir):
+    """Events written as binary frames with stray bytes between them, one recording per user and day, and read back."""
+    ev = T.events(spark, sf_dir)
+    e, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
+    framed = packets.encode_imu(ev.select(
+        F.concat_ws("_", F.col("session_id").cast("string"), "day_str").alias("session_id"), "t",
+        F.pmod(F.floor(F.col("t") / 1000), F.lit(1 << 32)).alias("timestamp_ms"),
+        F.floor(F.col("x") * 10).alias("accel_x"), (e % 30000).alias("accel_y"), (-(e % 30000)).alias("accel_z"),
+        k.alias("gyro_x"), (-k).alias("gyro_y"), F.length("event_type").alias("gyro_z"),
+        F.floor(F.col("value") * 1000).alias("ppg_ir"), e.alias("ppg_red"),
+        (F.lit(0x3F800000) + (e % 8) * (1 << 20)).alias("ambient_bits"), (F.lit(0x3F800000) + (e % 4) * (1 << 21)).alias("object_bits"),
+    ))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "frame"))), lambda s: F.concat(F.lit("AA01"), F.hex(s["frame"]))), "00")
+    blobs = framed.groupBy("session_id").agg(F.unhex(F.concat(text, F.lit("AA0101FF"))).alias("content"))
+    return packets.decode_blobs(blobs, ["imu"]).select(
+        "session_id", "file_offset", "timestamp_ms", "accel_x", "accel_y", "accel_z", "gyro_x", "gyro_y", "gyro_z", "ppg_ir", "ppg_red",
+        F.col("ambient_c").cast("double").alias("ambient_c"), F.col("object_c").cast("double").alias("object_c"))
+
+
+# --- live scoring --------------------------------------------------------------------------------------------------
+
+TOY_MODEL = {  # a fixed linear model of two window features
+    "names": ["x_mean", "x_max"], "mean": [0.0, 100.0], "scale": [20.0, 50.0], "coef": [1.0, 0.5], "intercept": 0.1,
+    "medians": {"x_mean": 0.0, "x_max": 100.0},
+}
+
+
+@query
+def cooldown_alerts(spark, sf_dir):
+    evals = T.events(spark, sf_dir).select("session_id", F.col("event_id").alias("eval_id"), "t", (F.col("value") / 100.0).alias("probability"))
+    return alerts.cooldown_alerts(evals, 24 * T.HOUR, threshold=0.3).select("session_id", "eval_id", "alert_fired", "suppressed_by_cooldown")
+
+
+@query
+def live_scoring(spark, sf_dir):
+    """Recorded feed: daily evaluations of the closed 72 h window, coverage gate, linear score."""
+    samples = T.samples(spark, sf_dir)
+    looks = alerts.live_windows(alerts.evaluation_ticks(samples, T.DAY), T.LOOKBACK)
+    found = features.window_features(samples, looks, ["x"], T.LOOKBACK, T.LEAST)
+    return rounded(live.score_rows(found, TOY_MODEL).select("window_id", "session_id", "n_samples", "probability"))
+
+
+@query
+def sliding_features(spark, sf_dir):
+    ev = T.events(spark, sf_dir).select("session_id", F.timestamp_micros("t").alias("ts"), "x")
+    found = live.sliding_features(ev, "ts", ["x"], "72 hours", "24 hours", least=T.LEAST)
+    return rounded(found.withColumn("window_end", F.unix_micros("window_end")))
+
+
+def _event_stream(spark, sf_dir):
+    raw = spark.readStream.schema(T.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.select(F.col("user_id").alias("session_id"), T.micros("ts").alias("t"), "event_type", (F.col("value") - F.lit(50.0)).alias("x"))
+
+
+def _run_stream(spark, stream):
+    """Run a stream over what is there and read its output back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    running = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_sliding_features(spark, sf_dir):
+    ev = _event_stream(spark, sf_dir).select("session_id", F.timestamp_micros("t").alias("ts"), "x")
+    found = _run_stream(spark, live.sliding_features(ev, "ts", ["x"], "72 hours", "24 hours", "10 seconds", T.LEAST))
+    return rounded(found.withColumn("window_end", F.unix_micros("window_end")))
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """The event stream through the stateful scorer; 'error' events come in as outcome marks."""
+    feed = _event_stream(spark, sf_dir).select(
+        F.col("session_id").cast("string").alias("session_id"), F.floor(F.col("t") / 1000).alias("t"),
+        F.when(F.col("event_type") == "error", "missed_pick").alias("event"), "x")
+    hour = 3_600_000
+    def vector(t, v, end):
+        return {"x_mean": float(v["x"].mean()), "x_max": float(v["x"].max())}
+    return _run_stream(spark, live.live_alerts(feed, TOY_MODEL, vector, ["x"], 72 * hour, 6 * hour, T.LEAST, 0.5, 24 * hour, 24 * hour)).drop("n_late")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Feature tables are read many times by the fits, so they are written once."""
+    return cut_lineage(df)
