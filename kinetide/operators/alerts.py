@@ -1,8 +1,9 @@
 """Alerts with a cool-down over recorded evaluations.
 
 An evaluation at or above the threshold fires unless the last *fired* alert is less than the cool-down ago. That is a
-chain, but a pause of at least the cool-down restarts it, so series split into independent stretches; a long stretch
-is cut into chunks, each summarised as "first possible alert -> last alert", and only the summaries are chained.
+chain along the session. Each session is cut into chunks of many cool-downs; a chunk is summarised as "first alert ->
+last alert" for every alert it could begin with (those within one cool-down of its start), and only the summaries are
+chained.
 """
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kinetide.operators.ordered import Running, previous, running, time_bucket
+from kinetide.operators.ordered import time_bucket
 
 COOLDOWNS_PER_CHUNK = 1000
 
@@ -40,14 +41,10 @@ def cooldown_alerts(evals: DataFrame, cooldown: int, threshold: float = 0.5, chu
     span = chunk * cooldown
     session = evals.schema["session_id"].dataType.simpleString()
     hot = evals.where(F.col(probability) >= threshold).select(
-        "session_id", F.col("eval_id").cast("long").alias("eval_id"), F.col("t").cast("long").alias("t"), time_bucket("t", span).alias("__bucket")
+        "session_id", F.col("eval_id").cast("long").alias("eval_id"), F.col("t").cast("long").alias("t"), time_bucket("t", span).alias("chunk")
     )
-    order = ["t", "eval_id"]
-    linked = previous(hot, ["session_id"], "__bucket", order, {"__pt": F.col("t")})
-    opens = F.when(F.col("__pt").isNull() | (F.col("t") - F.col("__pt") >= cooldown), 1).otherwise(0).cast("long")
-    pieces = running(linked, ["session_id"], "__bucket", order, {"stretch": Running("sum", opens)}).drop("__pt").withColumnRenamed("__bucket", "chunk")
-    keys = ["session_id", "stretch", "chunk"]
-    head = f"session_id {session}, stretch long, chunk long"
+    keys = ["session_id", "chunk"]
+    head = f"session_id {session}, chunk long"
 
     def summarise(frame: pd.DataFrame) -> pd.DataFrame:
         t = np.unique(frame["t"].to_numpy())
@@ -55,7 +52,7 @@ def cooldown_alerts(evals: DataFrame, cooldown: int, threshold: float = 0.5, chu
         reach = int(np.searchsorted(t, frame["chunk"].iloc[0] * span + cooldown, side="left"))
         first = np.arange(min(reach + 1, len(t)))
         return pd.DataFrame({
-            "session_id": frame["session_id"].iloc[0], "stretch": frame["stretch"].iloc[0], "chunk": frame["chunk"].iloc[0],
+            "session_id": frame["session_id"].iloc[0], "chunk": frame["chunk"].iloc[0],
             "entry_t": t[first], "exit_t": t[last[first]],
         })
 
@@ -77,9 +74,9 @@ def cooldown_alerts(evals: DataFrame, cooldown: int, threshold: float = 0.5, chu
         fired = np.zeros(len(t), dtype=bool) if pd.isna(entry) else _chain(t, int(entry), cooldown)
         return pd.DataFrame({"session_id": frame["session_id"], "eval_id": frame["eval_id"], "fired": fired})
 
-    maps = pieces.groupBy(*keys).applyInPandas(summarise, f"{head}, entry_t long, exit_t long")
-    entries = maps.groupBy("session_id", "stretch").applyInPandas(connect, f"{head}, entry_t long")
-    fired = pieces.join(entries, keys, "left").groupBy(*keys).applyInPandas(mark, f"session_id {session}, eval_id long, fired boolean")
+    maps = hot.groupBy(*keys).applyInPandas(summarise, f"{head}, entry_t long, exit_t long")
+    entries = maps.groupBy("session_id").applyInPandas(connect, f"{head}, entry_t long")
+    fired = hot.join(entries, keys, "left").groupBy(*keys).applyInPandas(mark, f"session_id {session}, eval_id long, fired boolean")
     joined = evals.join(fired, ["session_id", "eval_id"], "left")
     return joined.withColumn("alert_fired", F.coalesce("fired", F.lit(False))).withColumn(
         "suppressed_by_cooldown", F.col("fired").isNotNull() & ~F.col("alert_fired")

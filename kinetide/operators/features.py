@@ -41,14 +41,16 @@ def with_neighbours(
 ) -> DataFrame:
     """Attach the previous sample's time and values, and the sample-to-sample rate of change of `jerk_of`."""
     base = samples.withColumn("__bucket", time_bucket("t", width))
-    names = list(dict.fromkeys([*channels, *jerk_of]))
-    wanted = {"__prev_t": F.col("t")} | {f"__prev_{c}": F.col(c) for c in names}
-    out = previous(base, ["session_id"], "__bucket", order, wanted)
-    if jerk_of:
-        out = out.withColumns({_jerk_name(c): (F.col(c) - F.col(f"__prev_{c}")) * F.lit(fs) for c in jerk_of})
-        again = {"__prev2_t": F.col("__prev_t")} | {f"__prev_{_jerk_name(c)}": F.col(_jerk_name(c)) for c in jerk_of}
-        out = previous(out, ["session_id"], "__bucket", order, again)
-    return out
+    wanted = {"__prev_t": F.col("t")} | {f"__prev_{c}": F.col(c) for c in dict.fromkeys([*channels, *jerk_of])}
+    if not jerk_of:
+        return previous(base, ["session_id"], "__bucket", order, wanted)
+    older = {"__prev2_t": F.col("t")} | {f"__prev2_{c}": F.col(c) for c in jerk_of}
+    out = previous(base, ["session_id"], "__bucket", order, wanted, older)
+    rate = lambda now, before: (F.col(now) - F.col(before)) * F.lit(fs)
+    return out.withColumns(
+        {_jerk_name(c): rate(c, f"__prev_{c}") for c in jerk_of}
+        | {f"__prev_{_jerk_name(c)}": rate(f"__prev_{c}", f"__prev2_{c}") for c in jerk_of}
+    )
 
 
 def _jerk_name(channel: str) -> str:

@@ -5,11 +5,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinetide.functions import dsp
-from kinetide.operators.ordered import Running, exact_percentiles, previous, row_numbers, running, time_bucket, trailing_halo
-from pyspark.sql import Window as W
+from kinetide.operators.ordered import Running, exact_percentiles, islands, row_numbers, running, time_bucket, trailing_halo
+from kinetide.session import cut_lineage
 
 CHUNK_ROWS = 100_000
 HALO_ROWS = 2_000  # the filter's memory of an edge is below double precision after 1,000 samples
@@ -56,9 +56,7 @@ def runs(flagged: DataFrame, peak: Column, width: int, order: Sequence[str] = ("
     rows = flagged.select("session_id", *dict.fromkeys([*order, "t"]), "above", peak.alias("peak")).withColumn(
         "__bucket", time_bucket("t", width)
     )
-    before = previous(rows, ["session_id"], "__bucket", order, {"__was": F.col("above")})
-    opened = F.when(F.col("above") & ~F.coalesce("__was", F.lit(False)), 1).otherwise(0).cast("long")
-    numbered = running(before, ["session_id"], "__bucket", order, {"run": Running("sum", opened)})
+    numbered = islands(rows, ["session_id"], "__bucket", order, F.col("above"), "run")
     position = F.struct(*order)
     return numbered.where("above").groupBy("session_id", "run").agg(
         F.min_by("t", position).alias("start_t"), F.max_by("t", position).alias("end_t"), F.max("peak").alias("peak")
@@ -86,8 +84,9 @@ def find_candidates(
     width: int = 600_000, order: Sequence[str] = ("t",), chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Candidate intervals (start_t, end_t, peak) of every session's muscle signal."""
-    flagged = flag_above(envelope(packets, channel, width, order, chunk), "envelope", factor)
-    found = runs(flagged, F.abs(F.col(channel).cast("int")), width, order)
+    smooth = cut_lineage(envelope(packets.select("session_id", *dict.fromkeys([*order, "t", channel])), channel, width, order, chunk))
+    flagged = flag_above(smooth, "envelope", factor)  # reads the envelope several times, hence the written copy
+    found = cut_lineage(runs(flagged, F.abs(F.col(channel).cast("int")), width, order))
     return at_least(merge_close(found, min_gap, width), min_duration)
 
 

@@ -17,9 +17,8 @@ def nearest_controls(rows: DataFrame, width: int, group: str = "day_str") -> Dat
         (1 - F.col("label")).alias("__neg"), time_bucket("t", width).alias("__bucket"),
     )
     control = F.when(F.col("label") == 0, F.struct(F.col("t").alias("t"), F.col("idx").alias("idx")))
-    spec = {"__before": Running("last", control)}
-    forward = running(base, [group], "__bucket", ["t", "__pos", "__minus"], spec)
-    both = running(forward, [group], "__bucket", ["t", "__neg", "idx"], {"__after": Running("last", control)}, reverse=True)
+    specs = {"__before": Running("last", control), "__after": Running("last", control, reverse=True)}
+    both = running(base, [group], "__bucket", ["t", "__pos", "__minus"], specs, ["t", "__neg", "idx"])
     offer = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("t")).alias("d"), F.col(f"{c}.idx").alias("i")))
     best = F.least(offer("__before"), offer("__after"))
     return both.where(F.col("label") == 1).withColumn("__best", best).where(F.col("__best").isNotNull()).select(

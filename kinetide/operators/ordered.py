@@ -16,11 +16,12 @@ RANK_CUTS = 256
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: kind is sum, max, min or last (last non-null so far)."""
+    """A running value: kind is sum, max, min or last (last non-null so far); `reverse` runs from the end."""
 
     kind: str
     value: Column
     inclusive: bool = True
+    reverse: bool = False
 
 
 def time_bucket(t: Column | str, width: int) -> Column:
@@ -43,36 +44,37 @@ def running(
     bucket: str,
     order: Sequence[str],
     specs: dict[str, Running],
-    reverse: bool = False,
+    reverse_order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add running values per `keys` in `order` (backwards if `reverse`).
+    """Add running values per `keys` in `order`; reversed ones go backwards through `reverse_order`.
 
-    `bucket` must not decrease along `order`. The carry table has one row per (key, bucket).
+    `bucket` must not decrease along either order. The carry table has one row per (key, bucket). The input is read
+    twice, once for the carry and once for the rows, whatever the number of values.
     """
     spot = [*keys, bucket]
     base = df.select("*", *[s.value.alias(f"__v_{n}") for n, s in specs.items()])
-    position = F.struct(*order)
-    latest = F.min_by if reverse else F.max_by
+    forward, backward = list(order), list(reverse_order or order)
 
     def summary(name: str, spec: Running) -> Column:
         value = F.col(f"__v_{name}")
         if spec.kind == "last":
-            return latest(value, F.when(value.isNotNull(), position)).alias(f"__b_{name}")
+            position = F.when(value.isNotNull(), F.struct(*(backward if spec.reverse else forward)))
+            return (F.min_by if spec.reverse else F.max_by)(value, position).alias(f"__b_{name}")
         return {"sum": F.sum, "max": F.max, "min": F.min}[spec.kind](value).alias(f"__b_{name}")
 
-    across = (
-        W.partitionBy(*keys)
-        .orderBy(F.col(bucket).desc() if reverse else F.col(bucket).asc())
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
+    def across(spec: Running):
+        return W.partitionBy(*keys).orderBy(F.col(bucket).desc() if spec.reverse else F.col(bucket).asc()).rowsBetween(
+            W.unboundedPreceding, -1
+        )
+
     carried = (
         base.groupBy(*spot)
         .agg(*[summary(n, s) for n, s in specs.items()])
-        .select(*spot, *[_over_rows(s.kind, F.col(f"__b_{n}"), across).alias(f"__c_{n}") for n, s in specs.items()])
+        .select(*spot, *[_over_rows(s.kind, F.col(f"__b_{n}"), across(s)).alias(f"__c_{n}") for n, s in specs.items()])
     )
-    ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
     def combined(name: str, spec: Running) -> Column:
+        ordering = [F.col(c).desc() for c in backward] if spec.reverse else [F.col(c).asc() for c in forward]
         frame = W.partitionBy(*spot).orderBy(*ordering).rowsBetween(
             W.unboundedPreceding, W.currentRow if spec.inclusive else -1
         )
@@ -84,17 +86,63 @@ def running(
         return (F.greatest if spec.kind == "max" else F.least)(before, inside)
 
     joined = base.join(carried, spot, "left")
-    return joined.select(*df.columns,
-                         *[combined(n, s).alias(n) for n, s in specs.items()])
+    return joined.select(*df.columns, *[combined(n, s).alias(n) for n, s in specs.items()])
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], columns: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], columns: dict[str, Column],
+    second: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add the preceding row's values (NULL for the first row of a series) under the given names."""
-    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
-    out = running(df, keys, bucket, order, {"__prev": Running("last", packed, inclusive=False)})
-    return out.select(*df.columns, *[F.col(f"__prev.{n}").alias(n) for n in columns])
+    """Add the preceding row's values (NULL for the first row of a series), and on request those of the row before it.
+
+    The carry holds the last two rows of the buckets before, so both come from one pass.
+    """
+    spot = [*keys, bucket]
+    second = second or {}
+    packed = F.struct(*[c.alias(n) for n, c in {**columns, **{f"2{n}": c for n, c in second.items()}}.items()])
+    base = df.withColumn("__row", packed)
+    here = W.partitionBy(*spot).orderBy(*order)
+    across = W.partitionBy(*keys).orderBy(bucket)
+    position = F.struct(*order)
+    if second:
+        ends = base.withColumn("__before", F.lag("__row").over(here)).groupBy(*spot).agg(
+            F.max_by("__row", position).alias("__end"), F.max_by("__before", position).alias("__end2"))
+        older = F.coalesce(F.lag("__end2").over(across), F.lag("__end", 2).over(across))
+    else:
+        ends = base.groupBy(*spot).agg(F.max_by("__row", position).alias("__end"))
+        older = F.lit(None)
+    carried = ends.select(*spot, F.lag("__end").over(across).alias("__c1"), older.alias("__c2"))
+    joined = base.join(carried, spot, "left")
+    one = F.lag("__row").over(here)
+    extra = [F.coalesce(one, F.col("__c1")).alias("__p1")]
+    if second:
+        extra.append(F.coalesce(F.lag("__row", 2).over(here), F.when(one.isNull(), F.col("__c2")).otherwise(F.col("__c1"))).alias("__p2"))
+    out = joined.select(*df.columns, *extra)
+    return out.select(*df.columns, *[F.col(f"__p1.{n}").alias(n) for n in columns], *[F.col(f"__p2.2{n}").alias(n) for n in second])
+
+
+def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], flag: Column, name: str = "island") -> DataFrame:
+    """Number the stretches of equal `flag` (a boolean) along each series.
+
+    Changes inside a bucket are counted there; the change at a bucket's border is known once the last flag of the
+    bucket before it is, so one carry per bucket gives every row its number.
+    """
+    spot = [*keys, bucket]
+    here = W.partitionBy(*spot).orderBy(*order)
+    base = df.withColumn("__flag", flag)
+    changed = base.withColumn("__change", F.coalesce(F.col("__flag") != F.lag("__flag").over(here), F.lit(False)).cast("long"))
+    position = F.struct(*order)
+    ends = changed.groupBy(*spot).agg(
+        F.min_by("__flag", position).alias("__first"), F.max_by("__flag", position).alias("__last"), F.sum("__change").alias("__inner")
+    )
+    across = W.partitionBy(*keys).orderBy(bucket)
+    border = F.coalesce(F.col("__first") != F.lag("__last").over(across), F.lit(False)).cast("long")
+    bordered = ends.withColumn("__border", border)
+    before = F.coalesce(F.sum(F.col("__inner") + F.col("__border")).over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = bordered.select(*spot, (before + F.col("__border")).alias("__base"))
+    return changed.join(carried, spot, "left").select(
+        *df.columns, (F.col("__base") + F.sum("__change").over(here.rowsBetween(W.unboundedPreceding, W.currentRow))).alias(name)
+    )
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], name: str = "row_no") -> DataFrame:

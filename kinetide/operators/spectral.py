@@ -34,6 +34,10 @@ def window_arrays(
     )
 
 
+def _time_row(x: np.ndarray) -> list[float]:
+    return [x.mean(), x.std(), x.min(), x.max(), np.sqrt(np.mean(x * x)), dsp.zero_crossing_rate(x)]
+
+
 def _pulse_row(ppg: np.ndarray, t: np.ndarray) -> list[float | None]:
     peaks = dsp.beat_positions(ppg)
     if len(peaks) < 2:
@@ -47,16 +51,17 @@ def _pulse_row(ppg: np.ndarray, t: np.ndarray) -> list[float | None]:
 
 def array_features(
     arrays: DataFrame, channels: Sequence[str], fs: float, scales: dict[str, float] | None = None,
-    pulse: bool = False, with_time_stats: bool = False,
+    pulse: bool = False, with_time_stats: bool = False, jerk_of: Sequence[str] = (),
 ) -> DataFrame:
-    """Spectral (and on request pulse and time-domain) features from window arrays.
+    """Spectral (and on request pulse, time-domain and jerk) features from window arrays.
 
     Arrays may be in raw counts; `scales` gives the factor per channel.
     """
     scales = scales or {}
     channels = list(channels)
     stats = (TIME_STATS if with_time_stats else []) + SPECTRAL_STATS
-    names = [f"{c}_{s}" for c in channels for s in stats] + (PULSE_STATS if pulse else [])
+    jerk_names = [f"{c.replace('accel_', 'jerk_')}_{s}" for c in jerk_of for s in TIME_STATS]
+    names = [f"{c}_{s}" for c in channels for s in stats] + jerk_names + (PULSE_STATS if pulse else [])
     ids = [c for c in arrays.columns if c not in {*channels, "t", "ppg_ir"}]
     fields = arrays.select(*ids).schema.simpleString()[len("struct<"):-1]
     schema = ", ".join([fields.replace(":", " "), *[f"{n} double" for n in names]])
@@ -67,8 +72,11 @@ def array_features(
         for c in channels:
             x = np.asarray(getattr(row, c), dtype=float) * scales.get(c, 1.0)
             if with_time_stats:
-                out += [x.mean(), x.std(), x.min(), x.max(), np.sqrt(np.mean(x * x)), dsp.zero_crossing_rate(x)]
+                out += _time_row(x)
             out += dsp.spectrum_stats(x, fs)
+        for c in jerk_of:
+            x = np.asarray(getattr(row, c), dtype=float) * scales.get(c, 1.0)
+            out += _time_row(np.diff(x) * fs if len(x) > 1 else np.zeros(1))
         if pulse:
             out += _pulse_row(np.asarray(row.ppg_ir, dtype=float), np.asarray(row.t, dtype=float))
         return out

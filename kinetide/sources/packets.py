@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -124,13 +125,15 @@ def scan(read: Callable[[int, int], bytes], size: int, begin: int, stop: int, fr
     return data, low, pos[mine], number[mine], stray
 
 
-def _unpack(data: np.ndarray, low: int, pos: np.ndarray, frame: Frame) -> pd.DataFrame:
-    raw = data[pos[:, None] + np.arange(frame.length)]
+def _typed(raw: np.ndarray, frame: Frame) -> pd.DataFrame:
+    """Frames as rows of bytes to typed columns."""
     rows = np.ascontiguousarray(raw).view(frame.dtype)[:, 0]
-    out = {"file_offset": pos + low}
-    for name, kind in _columns(frame):
-        out[name] = rows[name].astype({"short": np.int16, "long": np.int64, "float": np.float32}[kind])
-    return pd.DataFrame(out)
+    kinds = {"short": np.int16, "long": np.int64, "float": np.float32}
+    return pd.DataFrame({name: rows[name].astype(kinds[kind]) for name, kind in _columns(frame)})
+
+
+def _unpack(data: np.ndarray, low: int, pos: np.ndarray, frame: Frame) -> pd.DataFrame:
+    return _typed(data[pos[:, None] + np.arange(frame.length)], frame).assign(file_offset=pos + low)
 
 
 def _open(uri: str) -> Callable[[int, int], bytes]:
@@ -223,12 +226,17 @@ def decode_blobs(blobs: DataFrame, kinds: Sequence[str]) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                content = bytes(row.content)
+            found: list[list] = [[] for _ in frames]
+            for session, content in zip(batch["session_id"], batch["content"]):
+                content = bytes(content)
                 data, low, pos, number, _ = scan(lambda a, b: content[a:b], len(content), 0, len(content), frames)
                 for k, frame in enumerate(frames):
-                    part = _unpack(data, low, pos[number == k], frame).assign(session_id=row.session_id, kind=frame.kind)
-                    yield part.reindex(columns=names).astype({c: object for c in names if c not in part})
+                    p = pos[number == k]
+                    found[k].append((np.full(len(p), session, object), p + low, data[p[:, None] + np.arange(frame.length)]))
+            for frame, parts in zip(frames, found):
+                sessions, offsets, raw = (np.concatenate(x) for x in zip(*parts))
+                part = _typed(raw, frame).assign(session_id=sessions, file_offset=offsets, kind=frame.kind)
+                yield part.reindex(columns=names).astype({c: object for c in names if c not in part})
 
     return blobs.select(F.col("session_id").cast("string").alias("session_id"), "content").mapInPandas(decode, schema)
 
@@ -242,8 +250,13 @@ def encode_imu(rows: DataFrame) -> DataFrame:
     body = F.concat(F.lit("0101"), little("timestamp_ms", 4),
                     *[little(c, 2) for c in ("accel_x", "accel_y", "accel_z", "gyro_x", "gyro_y", "gyro_z")],
                     little("ppg_ir", 4), little("ppg_red", 4), little("ambient_bits", 4), little("object_bits", 4))
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(33)), lambda i: F.conv(F.substring(F.col("__body"), i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    check = F.aggregate(numbers, F.lit(0), lambda a, b: a.bitwiseXOR(b))
+    def folded(c: str, size: int):
+        v = F.pmod(F.col(c).cast("long"), F.lit(1 << (8 * size)))
+        return reduce(lambda x, y: x.bitwiseXOR(y), [F.shiftright(v, 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(size)])
+
+    wide = ["timestamp_ms", "ppg_ir", "ppg_red", "ambient_bits", "object_bits"]
+    check = reduce(lambda x, y: x.bitwiseXOR(y), [folded(c, 4) for c in wide] + [
+        folded(c, 2) for c in ("accel_x", "accel_y", "accel_z", "gyro_x", "gyro_y", "gyro_z")])  # type and version, both 1, cancel out
     return rows.withColumn("__body", body).withColumn(
         "frame", F.unhex(F.concat(F.lit("AA"), F.col("__body"), F.lpad(F.hex(check), 2, "0"), F.lit("BB")))
     ).drop("__body")
