@@ -128,23 +128,34 @@ def boosting(seed: int = 42, **options) -> GBTClassifier:
     return GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", **{**defaults, **options})
 
 
+def assembled(rows: DataFrame, names: Sequence[str], group: str) -> DataFrame:
+    plain = rows.select(F.col(group).cast("string").alias("__g"), F.col("label").cast("int").alias("label"),
+                        *[F.col(n).cast("double").alias(n) for n in names])
+    return VectorAssembler(inputCols=list(names), outputCol="x").transform(plain).select("__g", "label", "x")
+
+
+def fit_one(data: DataFrame, make: Callable[[], object], times: dict[str, float], test_group: str, model_id: str, counts) -> DataFrame:
+    """Fit on the groups of `times` with their multiplicity as weight (and balanced classes given their counts), score one group."""
+    multiplicity = F.element_at(F.create_map(*[F.lit(x) for pair in times.items() for x in pair]), F.col("__g"))
+    train = data.where(F.col("__g").isin(list(times))).withColumn("w", multiplicity)
+    if counts is not None:
+        total = float(counts.sum())
+        train = train.withColumn("w", F.col("w") * F.when(F.col("label") == 1, total / (2 * float(counts[1]))).otherwise(total / (2 * float(counts[0]))))
+    fitted = make().fit(train)
+    out = fitted.transform(data.where(F.col("__g") == test_group).withColumn("w", F.lit(1.0)))
+    return out.select(F.lit(model_id).alias("model_id"), "label", vector_to_array("probability")[1].alias("score"))
+
+
 def trees(rows: DataFrame, names: Sequence[str], make: Callable[[], object], balanced: bool, group: str = "day_str",
           test_groups: Sequence[str] | None = None, parallel: int = 4) -> DataFrame:
     """Tree ensembles of Spark ML, one fit per fold; folds run side by side like CrossValidator's parallelism."""
     moments, design = folds(rows, names, group)
-    data = VectorAssembler(inputCols=list(names), outputCol="x").transform(
-        rows.select(F.col(group).cast("string").alias("__g"), F.col("label").cast("int").alias("label"),
-                    *[F.col(n).cast("double").alias(n) for n in names])
-    ).select("__g", "label", "x").persist()
+    data = assembled(rows, names, group).persist()
     counts = moments.class_counts(design.weights)
 
     def one(k: int) -> DataFrame:
-        n = counts[k]
-        w = F.when(F.col("label") == 1, n.sum() / (2 * n[1])).otherwise(n.sum() / (2 * n[0])) if balanced else F.lit(1.0)
-        train = data.where(F.col("__g") != design.test_group[k]).withColumn("w", w)
-        test = data.where(F.col("__g") == design.test_group[k]).withColumn("w", F.lit(1.0))
-        out = make().fit(train).transform(test)
-        return out.select(F.lit(design.ids[k]).alias("model_id"), "label", vector_to_array("probability")[1].alias("score"))
+        times = {g: float(w) for g, w in zip(design.groups, design.weights[k]) if w > 0}
+        return fit_one(data, make, times, design.test_group[k], design.ids[k], counts[k] if balanced else None)
 
     wanted = [k for k in range(len(design.ids)) if test_groups is None or design.test_group[k] in test_groups]
     with ThreadPoolExecutor(parallel) as pool:

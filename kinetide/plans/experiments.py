@@ -14,7 +14,6 @@ from kinetide.sources import storage
 # Fixed values of the experiments.
 BUFFERS_MS = (7_000, 5_000, 3_000)
 N_REPLICATES = 200
-NO_BOOTSTRAP = ("nested_elasticnet", "conditional_logit")
 AUGMENTATION_SETS = {"jitter": ["jitter"], "magnitude_warp": ["magnitude_warp"], "time_warp": ["time_warp"],
                      "combined": ["jitter", "magnitude_warp", "time_warp"]}
 MATCH_WIDTH_MS = 600_000
@@ -37,6 +36,14 @@ CLASSIFIERS: dict[str, Evaluator] = {
 }
 
 
+BOOTSTRAP_FORMS: dict[str, Callable[[Sequence[str]], bootstrap.Scorer]] = {
+    "lr_l2_baseline": bootstrap.logistic_scorer,
+    "gaussian_nb": lambda names: bootstrap.bayes_scorer(),
+    "rf_shallow": lambda names: bootstrap.tree_scorer(names, validation.forest, balanced=True),
+    "gbt_shallow": lambda names: bootstrap.tree_scorer(names, validation.boosting, balanced=False),
+}
+
+
 def result_row(scored: DataFrame, n_samples: int, **tags) -> DataFrame:
     """One row for the result log: tags, mean and std of auc and f1, and the folds."""
     folds = metrics.fold_scores(scored, ["model_id"]).select(F.struct("model_id", "auc", "f1").alias("s"), "auc", "f1")
@@ -247,12 +254,11 @@ def sign_flip(rows: DataFrame, names: Sequence[str], original: tuple[list[str],
 def top_bootstrap(spark: SparkSession, log: str, tables: dict[str, Table], n_rep: int = N_REPLICATES, k: int = 5) -> DataFrame:
     """Marginal bootstrap of the best logged configurations that have a bootstrap form, plus the reference (A, baseline)."""
     best = metrics.top_configs(storage.read_results(spark, log).where(F.col("feature_set").isin(list(tables))), k).collect()
-    chosen = [(r.feature_set, r.model) for r in best if r.model in ("lr_l2_baseline", "gaussian_nb")]
+    chosen = [(r.feature_set, r.model) for r in best if r.model in BOOTSTRAP_FORMS]
     out = None
     for feature_set, model in dict.fromkeys([*chosen, ("A", "lr_l2_baseline")]):
         rows, names = tables[feature_set]
-        scorer = bootstrap.bayes_scorer() if model == "gaussian_nb" else bootstrap.logistic_scorer(names)
-        reps = bootstrap.replicates(rows, names, bootstrap.day_draws(rows, n_rep), scorer)
+        reps = bootstrap.replicates(rows, names, bootstrap.day_draws(rows, n_rep), BOOTSTRAP_FORMS[model](names))
         row = bootstrap.interval(reps).withColumn("config", F.lit(f"{feature_set}/{model}"))
         out = row if out is None else out.unionByName(row)
     return out

@@ -2,10 +2,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 
 def build_session(app: str = "kinetide", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench. On a cluster the session comes from spark-submit."""
@@ -43,3 +47,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df on reliable storage so that later passes neither recompute it nor lose it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver was started from (like --py-files)."""
+    context = spark.sparkContext
+    if getattr(context, "_kinetide_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    archive = shutil.make_archive(f"{folder}/kinetide", "zip", PACKAGE.parent, PACKAGE.name)
+    context.addPyFile(archive)
+    context._kinetide_shipped = True

@@ -12,7 +12,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 def spark():
     from kinetide.session import build_session
 
-    os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+    os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT / 'tests'}:{os.environ.get('PYTHONPATH', '')}"
     session = build_session("kinetide-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -36,6 +36,7 @@ def session(root: Path, name: str, seconds: int, markers: list[int], day: str |
     for m in markers:
         near = (t >= m - 67_000) & (t < m - 7_000)
         acc[near] *= 1 + burst
+    acc = acc.clip(-32_000, 32_000)
     ir = 50_000 + 500 * np.sin(2 * np.pi * bpm / 60 * t / 1000) + rng.normal(0, 5, n)
     amb, obj = 20 + rng.normal(0, 0.1, n), 30 + rng.normal(0, 0.1, n) + np.arange(n) * 1e-4
     out = bytearray()
