@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinetide.operators.ordered import time_bucket
 
 COOLDOWNS_PER_CHUNK = 1000
+NEVER = -(2**63)  # marks a chunk without an alert
 
 
 def _last_alert(t: np.ndarray, cooldown: int) -> np.ndarray:
@@ -39,44 +40,46 @@ def cooldown_alerts(evals: DataFrame, cooldown: int, threshold: float = 0.5, chu
                     probability: str = "probability") -> DataFrame:
     """Add alert_fired and suppressed_by_cooldown. evals: session_id, eval_id (unique), t, probability."""
     span = chunk * cooldown
-    session = evals.schema["session_id"].dataType.simpleString()
     hot = evals.where(F.col(probability) >= threshold).select(
         "session_id", F.col("eval_id").cast("long").alias("eval_id"), F.col("t").cast("long").alias("t"), time_bucket("t", span).alias("chunk")
     )
-    keys = ["session_id", "chunk"]
-    head = f"session_id {session}, chunk long"
-
-    def summarise(frame: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(frame["t"].to_numpy())
-        last = _last_alert(t, cooldown)
-        reach = int(np.searchsorted(t, frame["chunk"].iloc[0] * span + cooldown, side="left"))
-        first = np.arange(min(reach + 1, len(t)))
-        return pd.DataFrame({
-            "session_id": frame["session_id"].iloc[0], "chunk": frame["chunk"].iloc[0],
-            "entry_t": t[first], "exit_t": t[last[first]],
-        })
-
-    def connect(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["chunk", "entry_t"])
-        picked, ready = [], None
-        for _, part in frame.groupby("chunk", sort=True):
-            entries = part["entry_t"].to_numpy()
-            i = 0 if ready is None else int(np.searchsorted(entries, ready, side="left"))
-            if i < len(entries):
-                picked.append(part.iloc[i])
-                ready = part["exit_t"].iloc[i] + cooldown
-        return pd.DataFrame(picked)[[*keys, "entry_t"]]
-
-    def mark(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "eval_id"])
-        t = frame["t"].to_numpy()
-        entry = frame["entry_t"].iloc[0]
-        fired = np.zeros(len(t), dtype=bool) if pd.isna(entry) else _chain(t, int(entry), cooldown)
-        return pd.DataFrame({"session_id": frame["session_id"], "eval_id": frame["eval_id"], "fired": fired})
-
-    maps = hot.groupBy(*keys).applyInPandas(summarise, f"{head}, entry_t long, exit_t long")
-    entries = maps.groupBy("session_id").applyInPandas(connect, f"{head}, entry_t long")
-    fired = hot.join(entries, keys, "left").groupBy(*keys).applyInPandas(mark, f"session_id {session}, eval_id long, fired boolean")
+    chunks = hot.groupBy("session_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("t", "eval_id"))).alias("e")).select(
+        "session_id", "chunk", F.col("e.t").alias("t"), F.col("e.eval_id").alias("eval_id"))
+
+    @F.pandas_udf("entry array<bigint>, exit array<bigint>")
+    def summarise(number: pd.Series, times: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, x in zip(number, times):
+            t = np.unique(x)
+            last = _last_alert(t, cooldown)
+            first = np.arange(min(int(np.searchsorted(t, c * span + cooldown, side="left")) + 1, len(t)))
+            out.append((t[first], t[last[first]]))
+        return pd.DataFrame(out, columns=["entry", "exit"])
+
+    @F.pandas_udf("array<bigint>")
+    def connect(entries: pd.Series, exits: pd.Series) -> pd.Series:
+        """First alert of every chunk in turn."""
+        out = []
+        for starts, ends in zip(entries, exits):
+            picked, ready = [], None
+            for entry, last in zip(starts, ends):
+                i = 0 if ready is None else int(np.searchsorted(entry, ready, side="left"))
+                picked.append(int(entry[i]) if i < len(entry) else NEVER)
+                ready = int(last[i]) + cooldown if i < len(entry) else ready
+            out.append(picked)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<boolean>")
+    def mark(times: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([_chain(np.asarray(x), int(first), cooldown) if first != NEVER else np.zeros(len(x), bool) for x, first in zip(times, entry)])
+
+    maps = chunks.select("session_id", "chunk", summarise("chunk", "t").alias("m"))
+    ordered = maps.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "m.entry", "m.exit"))).alias("s"))
+    entries = ordered.select("session_id", F.explode(F.arrays_zip(
+        F.col("s.chunk").alias("chunk"), connect("s.entry", "s.exit").alias("first"))).alias("z")).select("session_id", "z.chunk", "z.first")
+    marked = chunks.join(entries, ["session_id", "chunk"]).select("session_id", F.explode(F.arrays_zip(
+        F.col("eval_id"), mark("t", "first").alias("fired"))).alias("z"))
+    fired = marked.select("session_id", "z.eval_id", "z.fired")
     joined = evals.join(fired, ["session_id", "eval_id"], "left")
     return joined.withColumn("alert_fired", F.coalesce("fired", F.lit(False))).withColumn(
         "suppressed_by_cooldown", F.col("fired").isNotNull() & ~F.col("alert_fired")

@@ -11,7 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-RANK_CUTS = 256
+RANK_STEPS = 16
+BRACKET = 5e-4  # half width in rank of the slice around a wanted percentile; the sketch errs by at most 1e-4
+
+
+def _position(order: Sequence[str]) -> Column:
+    """Sort position for max_by/min_by; a single column keeps the aggregation hash based."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
 @dataclass(frozen=True)
@@ -58,7 +64,7 @@ def running(
     def summary(name: str, spec: Running) -> Column:
         value = F.col(f"__v_{name}")
         if spec.kind == "last":
-            position = F.when(value.isNotNull(), F.struct(*(backward if spec.reverse else forward)))
+            position = F.when(value.isNotNull(), _position(backward if spec.reverse else forward))
             return (F.min_by if spec.reverse else F.max_by)(value, position).alias(f"__b_{name}")
         return {"sum": F.sum, "max": F.max, "min": F.min}[spec.kind](value).alias(f"__b_{name}")
 
@@ -99,26 +105,30 @@ def previous(
     """
     spot = [*keys, bucket]
     second = second or {}
-    packed = F.struct(*[c.alias(n) for n, c in {**columns, **{f"2{n}": c for n, c in second.items()}}.items()])
-    base = df.withColumn("__row", packed)
+    values = {**columns, **{f"2{n}": c for n, c in second.items()}}
+    pack = lambda prefix: F.struct(*[F.col(f"{prefix}{n}").alias(n) for n in values])
+    base = df.select("*", *[c.alias(f"__v_{n}") for n, c in values.items()])
     here = W.partitionBy(*spot).orderBy(*order)
     across = W.partitionBy(*keys).orderBy(bucket)
-    position = F.struct(*order)
+    position = _position(order)
+    rows = base
     if second:
-        ends = base.withColumn("__before", F.lag("__row").over(here)).groupBy(*spot).agg(
-            F.max_by("__row", position).alias("__end"), F.max_by("__before", position).alias("__end2"))
-        older = F.coalesce(F.lag("__end2").over(across), F.lag("__end", 2).over(across))
-    else:
-        ends = base.groupBy(*spot).agg(F.max_by("__row", position).alias("__end"))
-        older = F.lit(None)
-    carried = ends.select(*spot, F.lag("__end").over(across).alias("__c1"), older.alias("__c2"))
+        rows = base.select("*", *[F.lag(f"__v_{n}").over(here).alias(f"__w_{n}") for n in values],
+                           F.lag(F.lit(1)).over(here).alias("__has"))
+    last = lambda prefix: [F.max_by(f"{prefix}{n}", position).alias(f"{prefix}{n}") for n in values]
+    ends = rows.groupBy(*spot).agg(*last("__v_"), *(last("__w_") + [F.max("__has").alias("__has")] if second else []))
+    packed = ends.select(*spot, pack("__v_").alias("__end"), *([F.when(F.col("__has") == 1, pack("__w_")).alias("__end2")] if second else []))
+    older = F.coalesce(F.lag("__end2").over(across), F.lag("__end", 2).over(across)) if second else F.lit(None)
+    carried = packed.select(*spot, F.lag("__end").over(across).alias("__c1"), older.alias("__c2"))
     joined = base.join(carried, spot, "left")
-    one = F.lag("__row").over(here)
-    extra = [F.coalesce(one, F.col("__c1")).alias("__p1")]
-    if second:
-        extra.append(F.coalesce(F.lag("__row", 2).over(here), F.when(one.isNull(), F.col("__c2")).otherwise(F.col("__c1"))).alias("__p2"))
-    out = joined.select(*df.columns, *extra)
-    return out.select(*df.columns, *[F.col(f"__p1.{n}").alias(n) for n in columns], *[F.col(f"__p2.2{n}").alias(n) for n in second])
+    first = F.row_number().over(here)
+    value = lambda n: F.when(F.col("__at") == 1, F.col(f"__c1.{n}")).otherwise(F.col(f"__l_{n}"))
+    ranked = joined.select(
+        "*", first.alias("__at"), *[F.lag(f"__v_{n}").over(here).alias(f"__l_{n}") for n in columns],
+        *[F.lag(f"__v_2{n}", 2).over(here).alias(f"__m_{n}") for n in second],
+    )
+    older_value = lambda n: F.when(F.col("__at") == 1, F.col(f"__c2.2{n}")).when(F.col("__at") == 2, F.col(f"__c1.2{n}")).otherwise(F.col(f"__m_{n}"))
+    return ranked.select(*df.columns, *[value(n).alias(n) for n in columns], *[older_value(n).alias(n) for n in second])
 
 
 def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], flag: Column, name: str = "island") -> DataFrame:
@@ -131,7 +141,7 @@ def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str
     here = W.partitionBy(*spot).orderBy(*order)
     base = df.withColumn("__flag", flag)
     changed = base.withColumn("__change", F.coalesce(F.col("__flag") != F.lag("__flag").over(here), F.lit(False)).cast("long"))
-    position = F.struct(*order)
+    position = _position(order)
     ends = changed.groupBy(*spot).agg(
         F.min_by("__flag", position).alias("__first"), F.max_by("__flag", position).alias("__last"), F.sum("__change").alias("__inner")
     )
@@ -159,31 +169,41 @@ def trailing_halo(df: DataFrame, t: str, width: int, lookback: int) -> DataFrame
     ).drop("__home")
 
 
+def _tagged(df: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Attach to df each key's sketch quantiles over `rows` as `__cuts` (a bounded number per key)."""
+    sketch = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs]), F.lit(10000)).alias("__cuts")
+    if keys:
+        return df.join(rows.groupBy(*keys).agg(sketch), list(keys), "left")
+    one = F.lit(0).alias("__all")
+    return df.withColumn("__all", one).join(F.broadcast(rows.agg(sketch).withColumn("__all", one)), "__all").drop("__all")
+
+
 def rank_buckets(df: DataFrame, keys: Sequence[str], value: str, bucket: str = "__bucket") -> DataFrame:
     """Cut an arbitrary numeric column into about equally full buckets per key.
 
-    Cut points come from a mergeable quantile sketch (at most RANK_CUTS numbers per key), so bucket sizes are
-    approximate while the order of buckets is exact.
+    Cut points come from a mergeable quantile sketch (RANK_STEPS^2 - 1 numbers per key), so bucket sizes are
+    approximate while the order of buckets is exact. The search goes by coarse and then by fine cuts.
     """
-    probs = F.array(*[F.lit(i / RANK_CUTS) for i in range(1, RANK_CUTS)])
-    sketch = F.percentile_approx(F.col(value).cast("double"), probs, F.lit(10000)).alias("__cuts")
-    if keys:
-        cuts = df.groupBy(*keys).agg(sketch)
-        tagged = df.join(cuts, list(keys), "left")
-    else:
-        tagged = df.crossJoin(F.broadcast(df.agg(sketch)))  # one row of at most RANK_CUTS numbers
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    return tagged.withColumn(bucket, below).drop("__cuts")
+    n = RANK_STEPS
+    tagged = _tagged(df, df, keys, value, [i / (n * n) for i in range(1, n * n)])
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    coarse = F.array(*[F.element_at("__cuts", n * i) for i in range(1, n)])
+    return tagged.withColumn("__coarse", below(coarse)).withColumn(
+        bucket, F.col("__coarse") * n + below(F.slice("__cuts", F.col("__coarse") * n + 1, F.lit(n - 1)))
+    ).drop("__cuts", "__coarse")
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per key without holding a group in one aggregation buffer.
 
-    Sketch cut points locate the bucket of each wanted rank; only those buckets are sorted.
+    Two sketch cut points bracket each wanted rank; exact counts tell which slice holds it, and only that slice (about
+    a thousandth of a large group) is sorted.
     """
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    placed = rank_buckets(counted, keys, value)
+    edges = sorted({min(1.0, max(0.0, p + side)) for p in probs.values() for side in (-BRACKET, BRACKET)})
+    placed = _tagged(counted, df, keys, value, edges).withColumn(
+        "__bucket", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     per_bucket = placed.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__n"))
     wk = W.partitionBy(*keys)
     prefix = F.coalesce(F.sum("__n").over(wk.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -13,7 +13,7 @@ def spark():
     from kinetide.session import build_session
 
     os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT / 'tests'}:{os.environ.get('PYTHONPATH', '')}"
-    session = build_session("kinetide-tests")
+    session = build_session("kinetide-tests", shuffle_partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
