@@ -247,7 +247,7 @@ def _fit_block(rows, names, group, label, weight, groups, group_weights, class_w
         in_u = np.einsum("mi,mij->mj", beta[live], lift[live])
         loss, g, h = _pass(rows, names, group, label, weight, groups, group_weights[live], class_weight[live], in_u, common_mean, common_scale)
         g = C[live, None] * np.einsum("mij,mj->mi", lift[live], g)
-        h = C[live, None, None] * np.einsum("mij,mjk,mlk->mil", lift[live], h, lift[live])
+        h = C[live, None, None] * (lift[live] @ h @ lift[live].transpose(0, 2, 1))
         value = _objective(C[live] * loss, beta[live], prior[live], l2[live], l1[live])
         worse = ~(value <= old_value[live] * (1 + 1e-12) + 1e-12)
         back = live[worse]

@@ -106,7 +106,7 @@ def test_integrity_report(spark, tmp_path):
     body = [recorder.imu(t, ax=i if i == 5 else 0) for i, t in enumerate(times)]
     (tmp_path / "2026-07-23-07-89pm.bin").write_bytes(b"".join(body))
     recorder.session(tmp_path, "2026-07-23-07-12pm", 400, [30_000, 360_000, 999_999_999, 0], None)
-    packet = packets.read_samples(spark, str(tmp_path), chunk=90)
+    packet = packets.read_samples(spark, str(tmp_path), chunk=50_000).persist()
     from kinetide.sources import recordings
     report = audit.integrity_report(packets.scan_frames(spark, str(tmp_path)), packet, recordings.read_markers(spark, str(tmp_path)),
                                     "file_offset", 100, 300_000)
