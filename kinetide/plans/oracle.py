@@ -155,6 +155,42 @@ lo AS (SELECT vec_id, fold, y, sum(CASE WHEN c = 1 THEN l ELSE -l END) + ln(max(
 sc AS (SELECT fold AS model_id, y AS label, 1 / (1 + exp(-z)) AS score, CAST(z > 0 AS INTEGER) AS predicted FROM lo)"""
 
 
+def logistic_fit(C: float, l2: float, l1: float = 0.0, prior: float = 0.0, balanced: bool = True, everything: bool = False, steps: int = 14) -> str:
+    """Leave-one-day-out Newton steps for one feature, the 2 x 2 system and the absolute penalty solved in closed form."""
+    weight = "CASE WHEN label = 1 THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END" if balanced else "1.0"
+    other = "f = 'all'" if everything else "day_str <> f"
+    folds = "SELECT 'all' AS f" if everything else "SELECT day_str AS f FROM ft GROUP BY 1 HAVING min(label) < max(label)"
+    return f"""{feature_table()}, fo AS ({folds}),
+st AS (SELECT f, avg(x_mean) AS mu, stddev_pop(x_mean) AS sd, count(*) AS n, sum(label) AS n1 FROM ft JOIN fo ON {other} GROUP BY 1),
+tr AS MATERIALIZED (SELECT f, (x_mean - mu) / sd AS v, CAST(label AS DOUBLE) AS y, CAST({weight} AS DOUBLE) AS w FROM ft JOIN st ON {other}),
+it AS (SELECT f, 0 AS k, CAST(0 AS DOUBLE) AS a, CAST({prior} AS DOUBLE) * sd AS b, CAST({prior} AS DOUBLE) * sd AS p, CAST(0 AS DOUBLE) AS curve FROM st
+UNION ALL SELECT f, k + 1, a - (g0 + h01 * (nb - b)) / h00, nb, p, h11 - h01 * h01 / h00 FROM (
+  SELECT *, sign(target) * greatest(abs(target) - {l1} / (h11 - h01 * h01 / h00), 0) AS nb FROM (
+  SELECT *, b - (g1 - h01 / h00 * g0) / (h11 - h01 * h01 / h00) AS target FROM (
+  SELECT f, k, a, b, p, {C} * sum(w * (q - y)) AS g0, {C} * sum(w * (q - y) * v) + {l2} * (b - p) AS g1,
+    {C} * sum(w * q * (1 - q)) AS h00, {C} * sum(w * q * (1 - q) * v) AS h01, {C} * sum(w * q * (1 - q) * v * v) + {l2} AS h11
+  FROM (SELECT it.*, v, y, w, 1 / (1 + exp(-(a + b * v))) AS q FROM it JOIN tr USING (f) WHERE k < {steps}) GROUP BY f, k, a, b, p)))),
+fin AS (SELECT * FROM it WHERE k = {steps})"""
+
+
+def conditional_fit(steps: int = 14) -> str:
+    return f"""{feature_table()}, fo AS (SELECT day_str AS f FROM ft GROUP BY 1 HAVING min(label) < max(label)),
+st AS (SELECT f, avg(x_mean) AS mu, stddev_pop(x_mean) AS sd FROM ft JOIN fo ON day_str <> f GROUP BY 1),
+pr AS (SELECT a.day_str, a.x_mean - b.x_mean AS d, row_number() OVER (PARTITION BY a.window_id ORDER BY abs(a.end_t - b.end_t)) AS rn
+  FROM ft a JOIN ft b ON a.day_str = b.day_str AND a.label = 1 AND b.label = 0),
+tr AS MATERIALIZED (SELECT f, d / sd AS d FROM pr JOIN st ON day_str <> f WHERE rn = 1),
+it AS (SELECT f, 0 AS k, CAST(0 AS DOUBLE) AS b FROM st UNION ALL
+  SELECT f, k + 1, b - (b - 2 * sum(d * s)) / (1 + 2 * sum(d * d * s * (1 - s))) FROM (SELECT it.*, d, 1 / (1 + exp(b * d)) AS s FROM it JOIN tr USING (f) WHERE k < {steps}) GROUP BY f, k, b),
+fin AS (SELECT f, CAST(0 AS DOUBLE) AS a, b FROM it WHERE k = {steps})"""
+
+
+def fit_scores(closed: str) -> str:
+    return f"""sc AS (SELECT f AS model_id, label, score, CAST(score {closed} 0.5 AS INTEGER) AS predicted FROM
+  (SELECT f, label, 1 / (1 + exp(-(a + b * (x_mean - mu) / sd))) AS score FROM ft JOIN st ON day_str = f JOIN fin USING (f))),
+{auc('sc', 'model_id')}, cf AS (SELECT model_id, {CONF}, avg(score) AS ms FROM sc GROUP BY 1)
+SELECT model_id, {r('auc', 'auc')}, {r(F1, 'f1')}, {r('ms', 'mean_score')} FROM aucs JOIN cf USING (model_id) WHERE auc IS NOT NULL"""
+
+
 def window_bayes() -> str:
     melt = " UNION ALL ".join(f"SELECT window_id, day_str AS fold, label, 'x_{s}' AS j, x_{s} AS v FROM ft" for s in STATS)
     return f"""em AS ({melt}),
@@ -380,5 +416,12 @@ SELECT 'e:' || session_id || ':' || t AS window_id, session_id, n AS n_samples,
     q["sliding_features"] = f"WITH {slide} SELECT session_id, window_end, {columns} FROM sl GROUP BY 1, 2 HAVING count(*) >= {T.LEAST}"
     q["stream_sliding_features"] = f"""WITH {slide} SELECT session_id, window_end, {columns} FROM sl
 WHERE window_end <= (SELECT max(t) // 1000 * 1000 - 10000000 FROM ev) GROUP BY 1, 2 HAVING count(*) >= {T.LEAST}"""
+    table = f"SELECT f AS fold, {r('a', 'intercept')}, {r('b', 'coef')} FROM fin"
+    q["logistic_fit"] = f"WITH RECURSIVE {logistic_fit(0.01, 1.0)} {table}"
+    q["lasso_fit"] = f"WITH RECURSIVE {logistic_fit(0.1, 0.5, 0.5)} {table}"
+    q["informed_fit"] = f"WITH RECURSIVE {logistic_fit(1.0, 40.0, prior=0.02, balanced=False)} {table}"
+    q["wald_errors"] = f"WITH RECURSIVE {logistic_fit(1.0, 0.0, balanced=False, everything=True)} SELECT {r('b', 'coef')}, {r('1 / sqrt(curve)', 'se')} FROM fin"
+    q["logistic_fold_scores"] = f"WITH RECURSIVE {logistic_fit(1.0, 1.0)}, {fit_scores('>')}"
+    q["conditional_fold_scores"] = f"WITH RECURSIVE {conditional_fit()}, {fit_scores('>=')}"
     q["bayes_bootstrap"] = bayes_bootstrap()
     return q

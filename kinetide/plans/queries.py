@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinetide.operators import (
@@ -576,6 +577,59 @@ def informed_prior_cv(spark, sf_dir):
     return rounded(validation.evaluate(scored, ["lam"]))
 
 
+def _one_feature(spark, sf_dir):
+    """Window table with one feature, small enough to have its fits written out in SQL."""
+    return checkpointed(labelled_features(spark, sf_dir).select("window_id", "day_str", "label", "end_t", "x_mean"))
+
+
+def _fit_table(spark, rows, **options):
+    moments, design = validation.folds(rows, ["x_mean"])
+    fitted = models.fit_logistic(rows, ["x_mean"], design, moments, **options)
+    table = [(i, float(a), float(c[0])) for i, a, c in zip(design.ids, fitted.intercept, fitted.coef)]
+    return rounded(spark.createDataFrame(table, "fold string, intercept double, coef double"))
+
+
+@query
+def logistic_fit(spark, sf_dir):
+    """Coefficients of every leave-one-day-out fit (L2, balanced)."""
+    return _fit_table(spark, _one_feature(spark, sf_dir), C=validation.BASELINE_C, balanced=True)
+
+
+@query
+def lasso_fit(spark, sf_dir):
+    """The same with half of the penalty absolute."""
+    return _fit_table(spark, _one_feature(spark, sf_dir), C=0.1, l2=0.5, l1=0.5, balanced=True)
+
+
+@query
+def informed_fit(spark, sf_dir):
+    """The same pulled toward a raw-unit prior of 0.02 with strength 20."""
+    return _fit_table(spark, _one_feature(spark, sf_dir), l2=40.0, prior_raw=np.array([0.02]))
+
+
+@query
+def logistic_fold_scores(spark, sf_dir):
+    rows = _one_feature(spark, sf_dir)
+    scored = validation.logistic(rows, ["x_mean"], C=1.0).persist()
+    mean = scored.groupBy("model_id").agg(F.avg("score").alias("mean_score"))
+    return rounded(metrics.fold_scores(scored, ["model_id"]).join(mean, "model_id"))
+
+
+@query
+def conditional_fold_scores(spark, sf_dir):
+    rows = _one_feature(spark, sf_dir).withColumn("idx", F.xxhash64("window_id"))
+    scored = validation.conditional(rows, ["x_mean"], T.HOUR, t="end_t").persist()
+    mean = scored.groupBy("model_id").agg(F.avg("score").alias("mean_score"))
+    return rounded(metrics.fold_scores(scored, ["model_id"]).join(mean, "model_id"))
+
+
+@query
+def wald_errors(spark, sf_dir):
+    """Unpenalised fit over all windows with its standard error."""
+    test = models.wald_tests(validation.fit_all(_one_feature(spark, sf_dir), ["x_mean"], C=1.0, balanced=False, l2=0.0))[0]
+    return rounded(spark.createDataFrame([(test["coef"], test["se"])], "coef double, se double"))
+
+
 @query
 def holdout_eval(spark, sf_dir):
     rows, names = T.embeddings(spark, sf_dir)
