@@ -699,6 +699,12 @@ def beat_detection(spark, sf_dir):
     return spectral.beats(spectral.window_arrays(ev, lookbacks(spark, sf_dir, T.BEAT_SPAN), ["ppg_ir"], T.BEAT_SPAN))
 
 
+@query
+def emg_envelope(spark, sf_dir):
+    ev = T.events(spark, sf_dir).select("session_id", "t", F.col("value").cast("int").alias("emg_raw"))
+    return rounded(intervals.envelope(ev, "emg_raw", 7 * T.DAY).select("session_id", "t", "envelope"), 4)
+
+
 @query
 def emg_candidates(spark, sf_dir):
     ev = T.events(spark, sf_dir).select("session_id", "t", F.col("value").cast("int").alias("emg_raw"))
