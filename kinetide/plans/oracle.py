@@ -365,13 +365,13 @@ al AS (SELECT n >= 10 AND coalesce(plausible_hr, false) AS p, n >= 10 AND hr_tre
   n >= 10 AND rmssd_clean IS NOT NULL AND sdnn_clean IS NOT NULL AS hk FROM sg LEFT JOIN hf USING (window_id))
 SELECT count(*) AS n_anchors, count(*) FILTER (WHERE p) AS n_plausible, count(*) FILTER (WHERE tk) AS n_trend_ok,
 count(*) FILTER (WHERE hk) AS n_hrv_ok, count(*) FILTER (WHERE tk AND hk) AS n_both_ok FROM al"""
-    q["median_impute"] = f"""WITH {heart(0.6)} SELECT window_id, {", ".join(r(f"coalesce({n}, median({n}) OVER ())", n, 4) for n in ("hr_trend_slope", "rmssd_clean", "sdnn_clean"))} FROM hf"""
-    q["fold_median_impute"] = f"""WITH {heart(0.6)}, rw AS (SELECT window_id, rmssd_clean, sdnn_clean, CAST(split_part(window_id, ':', 2) AS BIGINT) % 3 AS part FROM hf),
-md2 AS (SELECT fold, median(rmssd_clean) AS m1, median(sdnn_clean) AS m2 FROM rw, range(3) AS f(fold) WHERE part <> fold GROUP BY 1)
-SELECT window_id, fold, {r("coalesce(rmssd_clean, m1)", "rmssd_clean", 4)}, {r("coalesce(sdnn_clean, m2)", "sdnn_clean", 4)} FROM rw, md2"""
+    q["median_impute"] = f"""WITH {heart(0.6)} SELECT window_id, {", ".join(r(f"coalesce({n}, median({n}) OVER ())", n, 4) for n in ("hr_trend_mean", "hr_trend_slope", "sdnn_clean"))} FROM hf"""
+    q["fold_median_impute"] = f"""WITH {heart(0.6)}, rw AS (SELECT window_id, hr_trend_mean, sdnn_clean, CAST(split_part(window_id, ':', 2) AS BIGINT) % 3 AS part FROM hf),
+md2 AS (SELECT fold, median(hr_trend_mean) AS m1, median(sdnn_clean) AS m2 FROM rw, range(3) AS f(fold) WHERE part <> fold GROUP BY 1)
+SELECT window_id, fold, {r("coalesce(hr_trend_mean, m1)", "hr_trend_mean", 4)}, {r("coalesce(sdnn_clean, m2)", "sdnn_clean", 4)} FROM rw, md2"""
     q["standardize"] = f"""WITH {feature_table()} SELECT window_id, {", ".join(r(f"(x_{s} - avg(x_{s}) OVER ()) / CASE WHEN stddev_pop(x_{s}) OVER () = 0 THEN 1 ELSE stddev_pop(x_{s}) OVER () END", 'x_' + s) for s in STATS)} FROM ft"""
     q["fold_scalers"] = f"""WITH {feature_table()}, ds AS (SELECT DISTINCT day_str AS fold FROM ft), lf AS ({" UNION ALL ".join(f"SELECT day_str, 'x_{s}' AS feature, x_{s} AS v FROM ft" for s in STATS)})
-SELECT fold, feature, count(v) AS n, {r('avg(v)', 'mean', 5)}, {r('CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END', 'scale', 5)} FROM lf JOIN ds ON day_str <> fold GROUP BY 1, 2"""
+SELECT fold, feature, count(v) AS n, {r('avg(v)', 'mean', 7)}, {r('CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END', 'scale', 7)} FROM lf JOIN ds ON day_str <> fold GROUP BY 1, 2"""
     q["class_weights"] = f"""WITH {EV}, c AS (SELECT day_str, CAST(event_type = 'error' AS INTEGER) AS label, count(*) AS n_class FROM ev GROUP BY 1, 2)
 SELECT day_str, label, n_class, {r('sum(n_class) OVER (PARTITION BY day_str) / (2.0 * n_class)', 'weight')} FROM c""".replace("sum(n_class) OVER (PARTITION BY day_str) /", "CAST(sum(n_class) OVER (PARTITION BY day_str) AS DOUBLE) /")
     q["roc_auc"] = f"WITH {SCORED}, {auc('sc', 'day_str')} SELECT day_str, {r('auc', 'auc')}, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg FROM aucs"

@@ -341,7 +341,7 @@ def quality_funnel(spark, sf_dir):
 @query
 def median_impute(spark, sf_dir):
     """Drop the all-missing column, fill the gaps of the cardiac features with medians over all rows."""
-    names = ["hr_trend_slope", "rmssd_clean", "sdnn_clean", "never"]
+    names = ["hr_trend_mean", "hr_trend_slope", "sdnn_clean", "never"]
     gaps = _heart(spark, sf_dir).withColumn("never", F.lit(None).cast("double")).select("window_id", *names)
     cleaned, kept = cleaning.clean(gaps, names)
     return rounded(cleaned.select("window_id", *kept), 4)
@@ -350,7 +350,7 @@ def median_impute(spark, sf_dir):
 @query
 def fold_median_impute(spark, sf_dir):
     """Medians of the training rows only: fold k holds out the windows whose marker id leaves k when divided by 3."""
-    names = ["rmssd_clean", "sdnn_clean"]
+    names = ["hr_trend_mean", "sdnn_clean"]
     part = F.split("window_id", ":")[1].cast("long") % 3
     rows = _heart(spark, sf_dir).select("window_id", *names, part.alias("part"))
     spread = rows.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).withColumn("is_train", F.col("part") != F.col("fold"))
@@ -367,7 +367,7 @@ def standardize(spark, sf_dir):
 
 @query
 def fold_scalers(spark, sf_dir):
-    return rounded(cleaning.fold_scalers(labelled_features(spark, sf_dir), STAT_NAMES, "day_str"), 5)
+    return rounded(cleaning.fold_scalers(labelled_features(spark, sf_dir), STAT_NAMES, "day_str"), 7)
 
 
 @query
