@@ -257,7 +257,7 @@ def threshold_runs(spark, sf_dir):
 
 @query
 def merge_runs(spark, sf_dir):
-    merged = intervals.merge_close(_value_runs(spark, sf_dir), 12 * T.HOUR, 7 * T.DAY)
+    merged = intervals.merge_close(checkpointed(_value_runs(spark, sf_dir)), 12 * T.HOUR, 7 * T.DAY)
     return intervals.at_least(merged, 6 * T.HOUR)
 
 
