@@ -1,8 +1,11 @@
 """Shared helpers of the corpus operators: words as hashes, staged tables, public vocabularies."""
 from __future__ import annotations
 
+import base64
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -137,23 +140,56 @@ def word_hash(word: str) -> int:
     return int(Words(pa.array([word]), lower=False).hashes[0])
 
 
-class PieceCache:
-    """Results of a slow function on short strings, kept until there are `most` of them; results never depend on the cache."""
-
-    def __init__(self, compute: Callable[[list[str]], list], most: int = 200_000, longest: int = 64):
-        self.compute, self.most, self.longest, self.known = compute, most, longest, {}
-
-    def get(self, pieces: list[str]) -> list:
-        known = self.known
-        new = list({p for p in pieces if p not in known})
-        extra = {}
+class TokenPool:
+    """Token ids of short strings; ids already found are kept for up to `most` strings. Results never depend on what is kept."""
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000):
+        self.encode, self.most = encode, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+        self.used = 0
+
+    def _room(self, name: str, need: int) -> None:
+        old = getattr(self, name)
+        if need > len(old):
+            new = np.zeros(max(need, 2 * len(old)), old.dtype)
+            new[:len(old)] = old
+            setattr(self, name, new)
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in order, and the number of ids of each piece."""
+        if len(self.slots) > self.most:
+            self.clear()
+        slots = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(slots < 0).tolist()
+        new = list(dict.fromkeys(pieces[i] for i in unknown))
         if new:
-            found = dict(zip(new, self.compute(new)))
-            if len(known) + len(new) > self.most:
-                extra = {p: known[p] for p in set(pieces) if p in known}
-                known.clear()
-            for p, v in found.items():
-                (known if len(p) <= self.longest else extra)[p] = v
-        if extra:
-            return [known[p] if p in known else extra[p] for p in pieces]
-        return [known[p] for p in pieces]
+            found = [self.encode(p) for p in new]
+            at = len(self.slots)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+            for name, need in (("starts", at + len(new)), ("sizes", at + len(new)), ("ids", self.used + len(flat))):
+                self._room(name, need)
+            self.starts[at:at + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[at:at + len(new)] = sizes
+            self.ids[self.used:self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.slots.update(zip(new, range(at, at + len(new))))
+            slots[unknown] = [self.slots[pieces[i]] for i in unknown]
+        sizes = self.sizes[slots]
+        places = np.repeat(self.starts[slots] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[places + np.arange(len(places))], sizes
+
+
+@lru_cache(4)
+def byte_level_encoder(path: str) -> Callable[[str], list[int]]:
+    """Encoder of a byte-level rank file."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary

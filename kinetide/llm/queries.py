@@ -6,14 +6,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinetide.llm.common import table
+from kinetide.llm.language import identify_languages
+from kinetide.llm.mixing import mix_sources
 from kinetide.llm.ngram_join import jaccard_classes
+from kinetide.llm.oracle import ORACLE as ORACLE
+from kinetide.llm.packing import pack_documents
+from kinetide.llm.quality import quality
+from kinetide.llm.secret_scan import scan_secrets
+from kinetide.llm.topk import top_k
+
+
+def op1_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op6_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op8_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_ngram_jaccard": op5_ngram_jaccard,
+    f.__name__: f for f in (
+        op1_secret_guess_cost, op3_swap_packing, op5_ngram_jaccard, op6_hash_threshold_mix, op7_tokeniser_fertility, op8_branch_and_bound, op10_ftrl_language,
+    )
 }
-ORACLE: dict[str, str] = {}
