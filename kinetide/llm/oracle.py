@@ -42,3 +42,18 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 ORACLE: dict[str, str] = {"op6_hash_threshold_mix": _MIX, "op8_branch_and_bound": _TOP}
+
+_WARC = """
+with p as (select cast(page_id as bigint) page_id, coalesce(html, '') h from pages),
+d as (select page_id, cast(strlen(h) as bigint) payload_bytes, sha1(h) x from p),
+b as (
+  select *, array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(strpos('0123456789abcdef', x[i]) - 1), 4)), '') bits from d),
+c as (
+  select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast(list_sum(list_transform(range(1, 6), lambda j: cast(substr(bits, i * 5 + j, 1) as integer) * cast(2 ** (5 - j) as integer))) as integer), 1)), '') payload_digest
+  from b),
+m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) last from c)
+select page_id, payload_bytes, payload_digest, case when page_id = last then 'response' else 'revisit' end record_type,
+  case when page_id <> last then last end refers_to, cast(case when page_id = last then greatest(1, ceil(payload_bytes / 65536.0)) else 0 end as bigint) chunks from m
+"""
+ORACLE["op2_chunked_warc"] = _WARC

@@ -14,12 +14,17 @@ from kinetide.llm.packing import pack_documents
 from kinetide.llm.quality import quality
 from kinetide.llm.secret_scan import scan_secrets
 from kinetide.llm.topk import top_k
+from kinetide.llm.warc import archive_round_trip
 
 
 def op1_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,6 @@ def op10_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_guess_cost, op3_swap_packing, op5_ngram_jaccard, op6_hash_threshold_mix, op7_tokeniser_fertility, op8_branch_and_bound, op10_ftrl_language,
+        op1_secret_guess_cost, op2_chunked_warc, op3_swap_packing, op5_ngram_jaccard, op6_hash_threshold_mix, op7_tokeniser_fertility, op8_branch_and_bound, op10_ftrl_language,
     )
 }
