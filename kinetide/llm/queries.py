@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinetide.llm.common import table
 from kinetide.llm.language import identify_languages
+from kinetide.llm.lm import score_texts
 from kinetide.llm.mixing import mix_sources
 from kinetide.llm.ngram_join import jaccard_classes
 from kinetide.llm.oracle import ORACLE as ORACLE
@@ -45,12 +46,16 @@ def op8_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_guess_cost, op2_chunked_warc, op3_swap_packing, op5_ngram_jaccard, op6_hash_threshold_mix, op7_tokeniser_fertility, op8_branch_and_bound, op10_ftrl_language,
+        op1_secret_guess_cost, op2_chunked_warc, op3_swap_packing, op5_ngram_jaccard, op6_hash_threshold_mix, op7_tokeniser_fertility, op8_branch_and_bound, op9_log_bilinear, op10_ftrl_language,
     )
 }
