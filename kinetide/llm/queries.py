@@ -14,6 +14,7 @@ from kinetide.llm.oracle import ORACLE as ORACLE
 from kinetide.llm.packing import pack_documents
 from kinetide.llm.quality import quality
 from kinetide.llm.secret_scan import scan_secrets
+from kinetide.llm.surrogates import replace_entities
 from kinetide.llm.topk import top_k
 from kinetide.llm.warc import archive_round_trip
 
@@ -30,6 +31,10 @@ def op3_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -56,6 +61,6 @@ def op10_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_guess_cost, op2_chunked_warc, op3_swap_packing, op5_ngram_jaccard, op6_hash_threshold_mix, op7_tokeniser_fertility, op8_branch_and_bound, op9_log_bilinear, op10_ftrl_language,
+        op1_secret_guess_cost, op2_chunked_warc, op3_swap_packing, op4_surrogates, op5_ngram_jaccard, op6_hash_threshold_mix, op7_tokeniser_fertility, op8_branch_and_bound, op9_log_bilinear, op10_ftrl_language,
     )
 }
