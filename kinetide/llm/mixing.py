@@ -64,6 +64,16 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return edge.select("source", F.col("prefix").alias("threshold"))
 
 
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Sizes and lots of the rows of docs; how often each source's documents are taken: times, once more below the threshold."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = staged(rows.withColumn("lot", lot(F.col("doc_id"))), "sizes")
+    goal = targets(rows, weights, share).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
+    goal = staged(goal.withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")), "targets")
+    goal = goal.alias("g").join(_thresholds(rows, goal).alias("t"), F.expr("g.source <=> t.source"), "left")
+    return rows, staged(goal.select("g.source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "times", F.coalesce("threshold", F.lit(0)).alias("threshold")), "goals")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row of docs (doc_id, source, text).
 
@@ -72,12 +82,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
     so repeated rows are taken alike; null ids share one hash. If all texts are empty, targets are 0. Other columns are not
     read; an empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = staged(rows.withColumn("lot", lot(F.col("doc_id"))), "sizes")
-    goal = targets(rows, weights, share).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    goal = staged(goal.withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")), "targets")
-    ends = _thresholds(rows, goal)
-    goal = goal.alias("g").join(ends.alias("t"), F.expr("g.source <=> t.source"), "left").select("g.*", "threshold")
-    joined = rows.alias("r").join(staged(goal, "goals").alias("g"), F.expr("r.source <=> g.source"))
-    extra = (F.col("lot") < F.coalesce("threshold", F.lit(0))).cast("long")
-    return joined.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * (F.col("times") + extra)).cast("long").alias("taken"))
+    rows, goal = _plan(docs, weights, share)
+    joined = rows.alias("r").join(goal.alias("g"), F.expr("r.source <=> g.source"))
+    times = F.col("times") + (F.col("lot") < F.col("threshold")).cast("long")
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE) -> DataFrame:
+    """The rows of docs, as many copies of each as mix_sources takes; columns stay as they are."""
+    _, goal = _plan(docs, weights, share)
+    times = (F.col("g.times") + (lot(F.col("d.doc_id").cast("long")) < F.col("g.threshold")).cast("long")).cast("int")
+    joined = docs.alias("d").join(goal.alias("g"), F.expr("d.source <=> g.source")).where(times > 0)
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).drop("__copy")

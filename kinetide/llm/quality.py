@@ -129,26 +129,39 @@ def in_band(script: str, chars_per_token: float, byte_share: float, entropy_shar
     return least <= chars_per_token <= most and byte_share <= bytes_most and entropy_share >= entropy_least
 
 
+def _judged(batch: pa.RecordBatch, fertility: Fertility) -> list[tuple]:
+    """A row of SCHEMA, without the id, for each text of a batch."""
+    texts, words = [t or "" for t in batch.column("text").to_pylist()], Words(batch.column("text"), lower=False)
+    chars, symbols = words.sums(LETTER_START), words.sums(SYMBOLS)
+    rows = []
+    for text, w, c, s, (entropy, share, tokens, fallen) in zip(texts, words, chars.tolist(), symbols.tolist(), fertility(texts)):
+        repeated, script = repeated_words(w), script_of(text)
+        failed = len(w) < 10 or 100 * repeated > 20 * len(w)
+        per_token, fallen = (c / tokens, fallen / c) if tokens and c else (None, None)
+        kept = not failed and in_band(script, per_token, fallen, share, tokens)
+        rows.append((len(w), c, s, duplicate_lines(text), repeated, script, per_token, fallen, entropy, share, failed, kept))
+    return rows
+
+
 def _measure(byte_level: str, fallback: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(byte_level, fallback)
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 4 + [pa.bool_()] * 2
         for batch in batches:
-            texts, words = [t or "" for t in batch.column("text").to_pylist()], Words(batch.column("text"), lower=False)
-            chars, symbols = words.sums(LETTER_START), words.sums(SYMBOLS)
-            rows = []
-            for text, w, c, s, (entropy, share, tokens, fallen) in zip(texts, words, chars.tolist(), symbols.tolist(), fertility(texts)):
-                repeated, script = repeated_words(w), script_of(text)
-                failed = len(w) < 10 or 100 * repeated > 20 * len(w)
-                per_token, fallen = (c / tokens, fallen / c) if tokens and c else (None, None)
-                kept = not failed and in_band(script, per_token, fallen, share, tokens)
-                rows.append((len(w), c, s, duplicate_lines(text), repeated, script, per_token, fallen, entropy, share, failed, kept))
-            columns = zip(*rows) if rows else [[]] * 12
-            names = [f.split()[0] for f in SCHEMA.split(", ")]
-            kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 4 + [pa.bool_()] * 2
+            columns = list(zip(*_judged(batch, fertility))) or [[]] * 12
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
     return run
 
 
+def _filter(byte_level: str, fallback: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fertility = Fertility(byte_level, fallback)
+        for batch in batches:
+            yield batch.filter(pa.array([row[-1] for row in _judged(batch, fertility)], pa.bool_()))
+    return run
+
+
 def quality(docs: DataFrame, byte_level: str | None = None, fallback: str | None = None) -> DataFrame:
     """Counts, fertility and verdict of each row of docs (doc_id, text).
 
@@ -156,8 +169,17 @@ def quality(docs: DataFrame, byte_level: str | None = None, fallback: str | None
     doc_id stays null, other columns are not read, an empty table gives an empty one. One pass without a shuffle; long texts
     are read in slices. byte_level and fallback: paths of the vocabularies on the executors.
     """
-    import public_tokenizers
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure(*_paths(byte_level, fallback)), SCHEMA)
 
+
+def good_documents(docs: DataFrame, byte_level: str | None = None, fallback: str | None = None) -> DataFrame:
+    """The rows of docs (text and any other columns) whose text quality() keeps, in one pass without a shuffle."""
     small_batches(docs.sparkSession)
-    paths = byte_level or public_tokenizers.path("byte_bpe_50k.tiktoken"), fallback or public_tokenizers.path("piece_bpe_32k.model")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure(*paths), SCHEMA)
+    return docs.mapInArrow(_filter(*_paths(byte_level, fallback)), docs.schema)
+
+
+def _paths(byte_level: str | None, fallback: str | None) -> tuple[str, str]:
+    import public_tokenizers
+
+    return byte_level or public_tokenizers.path("byte_bpe_50k.tiktoken"), fallback or public_tokenizers.path("piece_bpe_32k.model")

@@ -156,26 +156,34 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, guess_log10 double, redacted string"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, guess_log10 double"
 
 
-def _scan(vocabulary: str, redact: bool):
+def _scan(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = dictionary(vocabulary)
+        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 spans, cost = find_secrets(text or "", words)
                 base = [s for s in spans if s[0] < 3]
                 counts = [sum(s[0] == k for s in spans) for k in range(4)]
-                new = hide(text, spans) if redact and text is not None else None
-                rows.append((*counts[:3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), counts[3], cost, new))
-            columns = zip(*rows) if rows else [[]] * 8
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64(), pa.string()]
+                rows.append((*counts[:3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), counts[3], cost))
+            columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], [f.split()[0] for f in SCHEMA.split(", ")])
     return run
 
 
+def _hide(vocabulary: str, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = dictionary(vocabulary)
+        for batch in batches:
+            texts = [None if t is None else hide(t, find_secrets(t, words)[0]) for t in batch.column(place).to_pylist()]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+    return run
+
+
 def hide(text: str, spans: list[tuple[int, int, int]]) -> str:
     """text with each run of overlapping spans replaced by a mark that names the first one's kind."""
     out, at = [], 0
@@ -186,17 +194,25 @@ def hide(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str | None = None, redact: bool = False) -> DataFrame:
-    """Spans of secrets in each row of docs (doc_id, text), and with redact the text without them.
+def scan_secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Spans of secrets in each row of docs (doc_id, text), and the highest guess cost of a credential value in it.
 
     Base spans come from fixed patterns. A value in credential context is one more span, kind guess, if the cheapest way to
-    guess it takes 10^SECRET_LOG10 guesses and no base span holds it. Null and empty texts have no span (redacted stays
-    null for null). Repeated rows are scanned alike, a null doc_id stays null, other columns are not read, an empty table
-    gives an empty one. One pass, no shuffle. vocabulary: path of a rank file on the executors.
+    guess it takes 10^SECRET_LOG10 guesses and no base span holds it. Null and empty texts have no span. Repeated rows are
+    scanned alike, a null doc_id stays null, other columns are not read, an empty table gives an empty one. One pass, no
+    shuffle. vocabulary: path of a rank file on the executors.
     """
-    import public_tokenizers
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(_path(vocabulary)), SCHEMA)
+
 
+def redact_secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The rows of docs (text and any other columns) with a mark in the place of each secret; null texts stay null."""
     small_batches(docs.sparkSession)
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(path, redact), SCHEMA)
-    return found if redact else found.drop("redacted")
+    return docs.mapInArrow(_hide(_path(vocabulary), docs.columns.index("text")), docs.schema)
+
+
+def _path(vocabulary: str | None) -> str:
+    import public_tokenizers
+
+    return vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
