@@ -1,6 +1,8 @@
 """Day-block bootstrap: shared draws, replicate scores, intervals and paired differences."""
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -99,30 +101,44 @@ def replicates(rows: DataFrame, names: Sequence[str], draws: DataFrame, scorer:
     return keyed.join(aucs, "model_id").groupBy("rep").agg(F.avg("auc").alias("mean_auc"))
 
 
+def fingerprint(rows: DataFrame, names: Sequence[str], draws: DataFrame, config: str, group: str = "day_str") -> str:
+    """A name for what replicates depend on besides their number: the feature rows, their columns, the configuration.
+
+    The draws of a replicate are part of each replicate's own key, so that more replicates do not change the others' keys.
+    """
+    columns = [group, "label", *names]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("s")).first()
+    return hashlib.md5(repr((config, columns, sums["n"], sums["s"])).encode()).hexdigest()
+
+
 def resumable_replicates(rows: DataFrame, names: Sequence[str], draws: DataFrame, scorer: Scorer, path: str, config: str,
                          n_rep: int, group: str = "day_str", chunk: int = REPS_PER_CHUNK) -> DataFrame:
-    """Replicates in chunks appended to `path`; a rerun only computes chunks that are not there yet."""
+    """Replicates appended to `path` chunk by chunk; a rerun only computes those that are not there yet.
+
+    A stored replicate counts if its number, the days drawn for it and the fingerprint of rows, names and config agree
+    with what is asked for; whatever else the path holds is neither used nor returned. config names the scorer.
+    """
     spark = rows.sparkSession
     moments = models.group_moments(rows, names, group)
-    target = f"{path}/config={config}"
+    target = f"{path}/config={config}/of={fingerprint(rows, names, draws, config, group)}"
+    days = F.array_sort(F.collect_list(F.struct("slot", "day")))  # n_days rows a replicate
+    wanted = draws.where(F.col("rep") < n_rep).groupBy("rep").agg(F.md5(F.to_json(days)).alias("drawn"))
 
-    def finished() -> set[int]:
+    def stored() -> DataFrame:
         try:
-            return {r.part for r in spark.read.parquet(target).select("part").distinct().collect()}
+            return spark.read.schema("rep int, drawn string, mean_auc double").option("recursiveFileLookup", "true").parquet(target)
         except Exception as error:  # nothing written yet
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return set()
+            if "PATH_NOT_FOUND" in str(error):
+                return spark.createDataFrame([], "rep int, drawn string, mean_auc double")
             raise
 
-    have = finished()
-    for part in range((n_rep + chunk - 1) // chunk):
-        if part in have:
-            continue
-        some = draws.where((F.col("rep") >= part * chunk) & (F.col("rep") < (part + 1) * chunk))
-        out = replicates(rows, names, some, scorer, group, moments)
-        listed = spark.range(part * chunk, min(n_rep, (part + 1) * chunk)).select(F.col("id").cast("int").alias("rep"))
-        listed.join(out, "rep", "left").coalesce(1).write.mode("overwrite").parquet(f"{target}/part={part}")
-    return spark.read.parquet(target).select("rep", "mean_auc").where(F.col("mean_auc").isNotNull())
+    missing = sorted(r.rep for r in wanted.join(stored(), ["rep", "drawn"], "left_anti").select("rep").collect())  # numbers of replicates
+    for at in range(0, len(missing), chunk):
+        some = missing[at:at + chunk]
+        out = replicates(rows, names, draws.where(F.col("rep").isin(some)), scorer, group, moments)
+        wanted.where(F.col("rep").isin(some)).join(out, "rep", "left").select("rep", "drawn", "mean_auc").coalesce(1).write.parquet(f"{target}/{uuid.uuid4().hex}")
+    found = stored().join(wanted, ["rep", "drawn"]).groupBy("rep").agg(F.max("mean_auc").alias("mean_auc"))  # one row each, also after a clash of writers
+    return found.where(F.col("mean_auc").isNotNull())
 
 
 def interval(values: DataFrame, value: str = "mean_auc", keys: Sequence[str] = ()) -> DataFrame:

@@ -74,7 +74,7 @@ def top_configs(results: DataFrame, k: int = 5) -> DataFrame:
     """Best k configurations by AUC; sanity rows and missing AUCs are left out."""
     ranked = results.where(F.col("mean_auc").isNotNull() & ~F.isnan("mean_auc"))
     if "part" in results.columns:
-        ranked = ranked.where(~F.col("part").startswith("sanity"))
+        ranked = ranked.where(~F.coalesce(F.col("part").startswith("sanity"), F.lit(False)))
     return ranked.orderBy(F.col("mean_auc").desc(), *[c for c in ("config",) if c in results.columns]).limit(k)
 
 

@@ -128,6 +128,16 @@ def boosting(seed: int = 42, **options) -> GBTClassifier:
     return GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", **{**defaults, **options})
 
 
+def full_forest(seed: int = 42, **options) -> RandomForestClassifier:
+    """200 trees as deep as the library grows them, down to single rows."""
+    return forest(seed, **{**dict(maxDepth=30, minInstancesPerNode=1), **options})
+
+
+def deep_boosting(seed: int = 42, **options) -> GBTClassifier:
+    """200 rounds of depth 3."""
+    return boosting(seed, **{**dict(maxIter=200, maxDepth=3, stepSize=0.1, minInstancesPerNode=1), **options})
+
+
 def assembled(rows: DataFrame, names: Sequence[str], group: str) -> DataFrame:
     plain = rows.select(F.col(group).cast("string").alias("__g"), F.col("label").cast("int").alias("label"),
                         *[F.col(n).cast("double").alias(n) for n in names])

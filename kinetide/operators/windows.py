@@ -167,10 +167,10 @@ def labelled_windows(
     seed: int = 42,
     all_negatives: bool = False,
 ) -> DataFrame:
-    """Positives and negatives of every session with samples.
+    """Positives and negatives of every session with samples; windows without a sample are left out.
 
-    Negatives avoid the lookback intervals (also the empty ones), not the buffer or the event itself; their
-    number matches the non-empty positives before any coverage filter.
+    Negatives avoid the lookback intervals (also the empty ones), not the buffer or the event itself. As many are drawn as
+    there are non-empty positives, before any coverage filter; those drawn that turn out empty are not replaced.
     """
     intervals = lookback_intervals(markers, length, buffer, shifts, shift_step)
     positives = non_empty(intervals, samples, length)
@@ -179,7 +179,7 @@ def labelled_windows(
         negatives = as_negatives(candidates)
     else:
         negatives = sample_negatives(candidates, positives, seed)
-    return positives.select(*WINDOW_COLUMNS).unionByName(negatives.select(*WINDOW_COLUMNS))
+    return positives.select(*WINDOW_COLUMNS).unionByName(non_empty(negatives, samples, length).select(*WINDOW_COLUMNS))
 
 
 def min_samples(length_ms: int, rate_hz: float = 50.0, coverage: float = 0.5) -> int:

@@ -33,7 +33,13 @@ CLASSIFIERS: dict[str, Evaluator] = {
     "gbt_shallow": lambda rows, names: validation.trees(rows, names, validation.boosting, balanced=False),
     "nested_elasticnet": lambda rows, names: validation.elastic_net(rows, names)[0],
     "conditional_logit": _conditional,
+    # the standard training run
+    "lr": lambda rows, names: validation.logistic(rows, names, C=1.0),
+    "rf": lambda rows, names: validation.trees(rows, names, validation.full_forest, balanced=True),
+    "gbt": lambda rows, names: validation.trees(rows, names, validation.deep_boosting, balanced=False),
 }
+TREES = {"rf_shallow": (validation.forest, True), "gbt_shallow": (validation.boosting, False), "rf": (validation.full_forest, True), "gbt": (validation.deep_boosting, False)}
+STANDARD = ("lr", "rf", "gbt")
 
 
 BOOTSTRAP_FORMS: dict[str, Callable[[Sequence[str]], bootstrap.Scorer]] = {
@@ -41,6 +47,9 @@ BOOTSTRAP_FORMS: dict[str, Callable[[Sequence[str]], bootstrap.Scorer]] = {
     "gaussian_nb": lambda names: bootstrap.bayes_scorer(),
     "rf_shallow": lambda names: bootstrap.tree_scorer(names, validation.forest, balanced=True),
     "gbt_shallow": lambda names: bootstrap.tree_scorer(names, validation.boosting, balanced=False),
+    "lr": lambda names: bootstrap.logistic_scorer(names, C=1.0),
+    "rf": lambda names: bootstrap.tree_scorer(names, validation.full_forest, balanced=True),
+    "gbt": lambda names: bootstrap.tree_scorer(names, validation.deep_boosting, balanced=False),
 }
 
 
@@ -115,8 +124,11 @@ def augmented_logistic(rows: DataFrame, names: Sequence[str], C: float = validat
     return models.score_linear(filled.where(F.col("augmentation") == "none"), fitted, group="grp")
 
 
-def train_and_select(rows: DataFrame, names: Sequence[str], kinds: Sequence[str] = ("lr_l2_baseline", "rf_shallow", "gbt_shallow")) -> tuple[str, DataFrame, DataFrame]:
-    """Best classifier by mean AUC over day folds (first maximum), then its result on the held-out last day."""
+def train_and_select(rows: DataFrame, names: Sequence[str], kinds: Sequence[str] = STANDARD, store: str | None = None) -> tuple[str, DataFrame, DataFrame]:
+    """Best classifier by mean AUC over day folds (first maximum), then its result on the held-out last day.
+
+    store: a folder for the fold results, the report and, of a linear winner, its parameters without the last day.
+    """
     spark = rows.sparkSession
     scored = {k: cut_lineage(CLASSIFIERS[k](rows, names)) for k in kinds}
     table = None
@@ -126,12 +138,21 @@ def train_and_select(rows: DataFrame, names: Sequence[str], kinds: Sequence[str]
     table = cut_lineage(table)
     best = metrics.first_best(table, "pos").first()["model"]
     last = metrics.last_day(rows)
-    if best == "lr_l2_baseline":
-        held = validation.holdout(rows, names)
+    strength = {"lr": 1.0, "lr_l2_baseline": validation.BASELINE_C}.get(best)
+    if strength is not None:
+        held = validation.holdout(rows, names, C=strength)
+    elif best in TREES:
+        held = validation.trees(rows, names, *TREES[best], test_groups=[last])
     else:
-        make, balanced = {"rf_shallow": (validation.forest, True), "gbt_shallow": (validation.boosting, False)}[best]
-        held = validation.trees(rows, names, make, balanced, test_groups=[last])
-    return best, table, validation.holdout_report(rows, held)
+        held = scored[best].where(F.col("model_id") == last)  # its fold of the last day
+    report = cut_lineage(validation.holdout_report(rows, held))
+    if store is not None:
+        table.write.mode("overwrite").parquet(f"{store}/cross_validation")
+        report.withColumn("model", F.lit(best)).write.mode("overwrite").parquet(f"{store}/held_out")
+        if strength is not None:
+            fitted = validation.fit_all(rows.where(F.col("day_str") != last), names, strength)
+            storage.write_model(spark, fitted, f"{store}/model")
+    return best, table, report
 
 
 def population_prior(rows: DataFrame, names: Sequence[str]) -> tuple[list[str], list[float], models.Fitted]:
@@ -168,7 +189,7 @@ def buffer_sweep(build: Callable[[int], Table], kind: str = "gbt_shallow", n_rep
         row = result_row(CLASSIFIERS[kind](rows, names), rows.count(), part="buffer", feature_set=str(buffer), model=kind)
         results = row if results is None else results.unionByName(row)
     first = BUFFERS_MS[0]
-    pairs = paired_bootstrap(tables[first], {str(b): tables[b] for b in BUFFERS_MS[1:]}, n_rep=n_rep, matched=False)
+    pairs = paired_bootstrap(tables[first], {str(b): tables[b] for b in BUFFERS_MS[1:]}, BOOTSTRAP_FORMS[kind], n_rep, matched=False)
     return results, pairs
 
 

@@ -48,7 +48,7 @@ def raw_stats(prefix: str = "x_") -> str:
 
 def labelled(length: int, all_negatives: bool = False) -> str:
     """CTEs up to `win`: non-empty positives and (matched) negatives."""
-    limit = "" if all_negatives else "WHERE rn <= n_pos"
+    limit = "" if all_negatives else "AND rn <= n_pos"
     return f"""{EV}, {MK}, {looks(length)},
 ne AS (SELECT * FROM pos p WHERE EXISTS (SELECT 1 FROM ev e WHERE e.session_id = p.session_id AND e.t >= p.start_t AND e.t < p.end_t)),
 bounds AS (SELECT session_id, min(t) AS t_min, max(t) AS t_max FROM ev GROUP BY 1),
@@ -59,7 +59,7 @@ wanted AS (SELECT session_id, count(*) AS n_pos FROM ne GROUP BY 1),
 ranked AS (SELECT c.*, n_pos, row_number() OVER (PARTITION BY c.session_id ORDER BY md5('42:' || c.session_id || ':' || c.start_t)) AS rn
   FROM cand c {"LEFT" if all_negatives else ""} JOIN wanted USING (session_id)),
 neg AS (SELECT 'n:' || session_id || ':' || start_t AS window_id, session_id, start_t, end_t, CAST(0 AS INTEGER) AS label,
-  CAST(0 AS INTEGER) AS horizon FROM ranked {limit}),
+  CAST(0 AS INTEGER) AS horizon FROM ranked r WHERE EXISTS (SELECT 1 FROM ev e WHERE e.session_id = r.session_id AND e.t >= r.start_t AND e.t < r.end_t) {limit}),
 win AS (SELECT * FROM ne UNION ALL SELECT * FROM neg)"""
 
 

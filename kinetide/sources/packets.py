@@ -45,6 +45,7 @@ EDA = Frame("eda", 3, _HEAD + (("eda_raw", "<i2"),) + _TAIL)
 FRAMES = {f.kind: f for f in (IMU, EMG, EDA)}
 SPARK_TYPES = {"u1": "short", "<u4": "long", "<i2": "short", "<f4": "float"}
 CHUNK_BYTES = 32 << 20
+MOST_TASKS = 100_000
 LOOK_BACK = 64 << 10
 ROWS_PER_BATCH = 200_000
 
@@ -169,8 +170,14 @@ def list_recordings(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def decode_ranges(ranges: DataFrame, kind: str) -> DataFrame:
-    """Typed rows of one frame kind: session_id, file_offset, payload columns."""
+def spread_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges dealt evenly to one task each (at most MOST_TASKS). The number is given, so the adaptive planner keeps it:
+    ranges are tiny rows, and by their own size they would all end in one task."""
+    return ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
+
+
+def decode_ranges(ranges: DataFrame, kind: str, keep_path: bool = False) -> DataFrame:
+    """Typed rows of one frame kind: session_id, file_offset, payload columns, and the file's path if wanted."""
     frame = FRAMES[kind]
     names = ["session", "file_offset", *[n for n, _ in _columns(frame)]]
     schema = "session string, file_offset long, " + ", ".join(f"{n} {t}" for n, t in _columns(frame))
@@ -183,13 +190,14 @@ def decode_ranges(ranges: DataFrame, kind: str) -> DataFrame:
                     yield _unpack(data, low, pos[i:i + ROWS_PER_BATCH], frame).assign(session=row.path)[names]
 
     decoded = ranges.mapInPandas(decode, schema)
-    return decoded.select(stem(F.col("session"), r"\.bin").alias("session_id"), *names[1:])
+    path = [F.col("session").alias("path")] * keep_path
+    return decoded.select(*path, stem(F.col("session"), r"\.bin").alias("session_id"), *names[1:])
 
 
 def read_packets(spark: SparkSession, root: str, kind: str = "imu", chunk: int = CHUNK_BYTES) -> DataFrame:
     """All frames of one kind of every recording under root."""
     ranges = byte_ranges(list_recordings(spark, root), chunk)
-    return decode_ranges(ranges.repartition("path", "begin"), kind)
+    return decode_ranges(spread_ranges(ranges), kind)
 
 
 def read_samples(spark: SparkSession, root: str, kind: str = "imu", chunk: int = CHUNK_BYTES) -> DataFrame:
@@ -211,7 +219,7 @@ def scan_frames(spark: SparkSession, root: str, kinds: Sequence[str] = ("imu", "
                     "kind": labels[np.concatenate([number, np.full(len(stray), len(kinds))]).astype(int)],
                 })
 
-    ranges = byte_ranges(list_recordings(spark, root), chunk).repartition("path", "begin")
+    ranges = spread_ranges(byte_ranges(list_recordings(spark, root), chunk))
     found = ranges.mapInPandas(audit, "path string, file_offset long, kind string")
     return found.select(stem(F.col("path"), r"\.bin").alias("session_id"), "file_offset", "kind")
 
@@ -268,7 +276,9 @@ def stream_recordings(spark: SparkSession, root: str, kind: str = "imu", chunk:
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", "*.bin").option("maxFilesPerTrigger", files_per_trigger).load(root).select("path", "length")
     )
-    return decode_ranges(byte_ranges(files, chunk), kind)
+    # a batch's ranges are not counted beforehand; a few for each core keep a large file from one task
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return decode_ranges(byte_ranges(files, chunk).repartition(tasks), kind)
 
 
 def ingest_increment(spark: SparkSession, root: str, out: str, ledger: str, kind: str = "imu", chunk: int = CHUNK_BYTES) -> int:
@@ -283,11 +293,12 @@ def ingest_increment(spark: SparkSession, root: str, out: str, ledger: str, kind
     batch = (known.agg(F.max("batch")).first()[0] or 0) + 1
     latest = known.groupBy("path").agg(F.max("next_offset").alias("next_offset"))
     files = list_recordings(spark, root).join(latest, "path", "left").withColumn("from", F.coalesce("next_offset", F.lit(0).cast("long")))
-    ranges = byte_ranges(files, chunk, "from").repartition("path", "begin")
+    ranges = spread_ranges(byte_ranges(files, chunk, "from"))
     frame = FRAMES[kind]
-    decode_ranges(ranges, kind).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-    written = spark.read.parquet(f"{out}/batch={batch}").groupBy("session_id").agg((F.max("file_offset") + frame.length).alias("reached"))
-    entries = files.withColumn("session_id", stem(F.col("path"), r"\.bin")).join(written, "session_id")
+    decode_ranges(ranges, kind, keep_path=True).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    # by path: recordings in two folders may have one name
+    written = spark.read.parquet(f"{out}/batch={batch}").groupBy("path").agg((F.max("file_offset") + frame.length).alias("reached"))
+    entries = files.join(written, "path")
     entries.select("path", F.col("reached").alias("next_offset"), F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{ledger}/part={batch}")
     return batch
 

@@ -225,10 +225,16 @@ def test_bootstrap_replicates(data, kind, tmp_path):
         assert got[rep] == pytest.approx(want[rep], abs=1e-8)
     if kind == "bayes":
         path = str(tmp_path)
-        first = bootstrap.resumable_replicates(rows, NAMES, draws, scorer, path, "x", 12, chunk=5)
-        assert {r.rep: pytest.approx(r.mean_auc) for r in first.collect()} == want
-        broken = lambda *a: pytest.fail("finished chunks must not run again")
-        assert bootstrap.resumable_replicates(rows, NAMES, draws, broken, path, "x", 12, chunk=5).count() == len(want)
+        run = lambda n, some=draws, by=scorer, table=rows: {
+            r.rep: r.mean_auc for r in bootstrap.resumable_replicates(table, NAMES, some, by, path, "x", n, chunk=2).collect()}
+        assert run(3) == {r: pytest.approx(v) for r, v in want.items() if r < 3}
+        assert run(7) == {r: pytest.approx(v) for r, v in want.items() if r < 7}  # resumed inside a chunk
+        assert run(12) == {r: pytest.approx(v) for r, v in want.items()}
+        broken = lambda *a: pytest.fail("finished replicates must not run again")
+        assert run(12, by=broken) == {r: pytest.approx(v) for r, v in want.items()} and set(run(4, by=broken)) == {r for r in want if r < 4}
+        other = bootstrap.day_draws(rows, 4, seed=7)
+        direct = {r.rep: r.mean_auc for r in bootstrap.replicates(rows, NAMES, other, scorer).collect()}
+        assert run(4, some=other) == {r: pytest.approx(v) for r, v in direct.items()}  # other draws are other replicates
 
 
 def test_auc_ties_and_missing_class(spark):
