@@ -89,10 +89,11 @@ def array_features(
     return arrays.select(*used).mapInPandas(batches, schema)
 
 
-def compute_features(samples: DataFrame, windows: DataFrame, width: int, least: int = 1, keep: Sequence[str] = ()) -> DataFrame:
-    """The 59 standard features of IMU and pulse windows, from raw packet columns."""
+def compute_features(samples: DataFrame, windows: DataFrame, width: int, least: int = 1, keep: Sequence[str] = (),
+                     order: Sequence[str] = ("t",)) -> DataFrame:
+    """The 59 standard features of IMU and pulse windows, from raw packet columns; `order` tells packets of one time apart."""
     channels = ACCEL + GYRO
-    arrays = window_arrays(samples, windows, [*channels, "ppg_ir"], width, least, keep)
+    arrays = window_arrays(samples, windows, [*channels, "ppg_ir"], width, least, keep, order)
     return array_features(arrays, channels, dsp.PULSE_HZ, IMU_SCALES, pulse=True, with_time_stats=True)
 
 

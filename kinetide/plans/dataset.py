@@ -21,8 +21,8 @@ IDS = ["window_id", "session_id", "day_str", "label", "end_t"]
 class Recordings:
     """Decoded packets, markers and metadata of a folder of recordings.
 
-    With `decoded`, packets are written there as Parquet once and read back with only the columns a step needs;
-    otherwise the decoded packets are checkpointed.
+    With `decoded`, packets are written there as Parquet once, under a name for the files and lengths they came from, and
+    read back with only the columns a step needs; otherwise the decoded packets are checkpointed.
     """
 
     def __init__(self, spark: SparkSession, root: str, decoded: str | None = None):
@@ -32,6 +32,7 @@ class Recordings:
         if decoded is None:
             self.samples = cut_lineage(packets.read_samples(spark, root))
         else:
+            decoded = f"{decoded}/of={packets.listing(spark, root)}"
             try:
                 self.samples = spark.read.parquet(decoded)
             except Exception as error:
@@ -55,7 +56,7 @@ def build_dataset(
     """The standard feature table: 59 features, coverage filter, all-missing columns dropped, medians filled in."""
     found = rec.windows(x_window_ms, buffer_ms, neg_step_ms, shifts=n_lookback_shifts, shift_step=shift_step_ms, all_negatives=all_negatives)
     least = windows.min_samples(x_window_ms)
-    table = rec.dated(spectral.compute_features(rec.samples, found, x_window_ms, least, ["horizon"]))
+    table = rec.dated(spectral.compute_features(rec.samples, found, x_window_ms, least, ["horizon"], rec.order))
     names = sorted(c for c in table.columns if c not in {*IDS, "start_t", "n_samples", "horizon"})
     return cleaning.clean(cut_lineage(table), names)
 

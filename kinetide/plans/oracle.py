@@ -307,7 +307,7 @@ SELECT session_id, bucket, coalesce(c, 0) AS n_markers FROM gr LEFT JOIN ct USIN
 min(e.t) AS first_t, max(e.t) AS last_t FROM runs r JOIN ev e ON e.session_id = r.session_id AND e.t BETWEEN start_t - {6 * H} AND end_t + {6 * H} GROUP BY 1, 2, 3"""
     q["session_day_join"] = f"""WITH {EV}, {MK}, {looks(T.LOOKBACK)}
 SELECT window_id, session_id, coalesce('n' || c_nationkey, 'unknown') AS day_str FROM pos
-LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON c_custkey = session_id"""
+LEFT JOIN customer ON c_custkey * 2 = session_id"""
     q["nearest_match"] = f"""WITH {EV}, pr AS (SELECT a.day_str, a.event_id AS case_idx, b.event_id AS control_idx, abs(b.t - a.t) AS distance,
 row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.t - a.t), b.event_id) AS rn
 FROM ev a JOIN ev b ON a.day_str = b.day_str AND a.event_type = 'error' AND b.event_type <> 'error')
@@ -396,7 +396,7 @@ outcome, sign(baseline) = sign(original) AS same_sign_original, sign(baseline) =
 SELECT i AS n_improved, w AS n_worsened, i AS accel_yz_improved, CAST(0 AS BIGINT) AS other_worsened, i >= 1 AND w <= 2 AS helps FROM n"""
     q["coefficient_shift"] = f"""WITH {EV}, m AS (SELECT day_str AS feature, avg(x) FILTER (WHERE event_type = 'click') AS b, avg(x) FILTER (WHERE event_type = 'view') AS i FROM ev GROUP BY 1)
 SELECT feature, {r('b', 'baseline_coef')}, {r('i', 'informed_coef')}, {r('abs(i - b)', 'abs_diff')} FROM m WHERE b IS NOT NULL AND i IS NOT NULL ORDER BY abs(i - b) DESC, feature LIMIT 10"""
-    side = lambda k: f"SELECT DISTINCT day_str FROM ev WHERE event_type = '{k}' AND value > 200"
+    side = lambda k: f"SELECT DISTINCT session_id || ':' || day_str AS day_str FROM ev WHERE event_type = '{k}'"
     q["day_set_difference"] = f"""WITH {EV}, a AS ({side('click')}), b AS ({side('view')})
 SELECT day_str, 'left' AS only_in FROM a WHERE day_str NOT IN (SELECT day_str FROM b) UNION ALL SELECT day_str, 'right' FROM b WHERE day_str NOT IN (SELECT day_str FROM a)"""
     q["matched_population"] = f"""WITH {EV}, {MK}, {looks(T.SHORT, name='p1')}, {looks(T.LOOKBACK, name='p2')},

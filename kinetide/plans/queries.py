@@ -176,9 +176,9 @@ def context_window(spark, sf_dir):
 
 @query
 def session_day_join(spark, sf_dir):
-    """Windows get the day of their session's metadata; sessions without any are 'unknown'."""
-    people = T.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") != "BUILDING").select(
-        F.col("c_custkey").alias("session_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("day_str"))
+    """Windows get the day of their session's metadata; sessions without any are 'unknown'. Every other session has some here."""
+    people = T.table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") * 2).alias("session_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("day_str"))
     return windows.with_day(lookbacks(spark, sf_dir).select("window_id", "session_id"), people)
 
 
@@ -454,8 +454,9 @@ def coefficient_shift(spark, sf_dir):
 
 @query
 def day_set_difference(spark, sf_dir):
-    big = lambda kind: T.events(spark, sf_dir).where((F.col("event_type") == kind) & (F.col("value") > 200))
-    return bootstrap.same_days(big("click"), big("view"))
+    """Days of a user that have events of one kind only."""
+    of = lambda kind: T.events(spark, sf_dir).where(F.col("event_type") == kind).select(F.concat_ws(":", "session_id", "day_str").alias("day_str"))
+    return bootstrap.same_days(of("click"), of("view"))
 
 
 @query

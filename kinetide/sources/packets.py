@@ -7,6 +7,7 @@ to know which frames were accepted before it.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -170,6 +171,12 @@ def list_recordings(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def listing(spark: SparkSession, root: str) -> str:
+    """A name for the recordings under root and their lengths: it changes when one is added or grows."""
+    row = list_recordings(spark, root).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "length").cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.md5(repr((row.n, str(row.s))).encode()).hexdigest()
+
+
 def spread_ranges(ranges: DataFrame) -> DataFrame:
     """Ranges dealt evenly to one task each (at most MOST_TASKS). The number is given, so the adaptive planner keeps it:
     ranges are tiny rows, and by their own size they would all end in one task."""

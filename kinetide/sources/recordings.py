@@ -44,12 +44,13 @@ def read_sessions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_markers(spark: SparkSession, root: str) -> DataFrame:
-    """marker_id, session_id, t, event. The id follows the row's place in its file."""
+    """marker_id, session_id, t, event. The id names session, time and the place among the marks of that time, so other files
+    do not change it."""
     raw = _files(spark.read.format("csv").schema(MARKER_SCHEMA).option("header", "true"), root, "*.markers.csv")
     name = stem(F.col("_metadata.file_path"), r"\.markers\.csv")
-    return raw.select(
-        F.monotonically_increasing_id().alias("marker_id"), name.alias("session_id"), F.col("timestamp_ms").alias("t"), "event"
-    ).where(F.col("t").isNotNull())
+    marks = raw.select(name.alias("session_id"), F.col("timestamp_ms").alias("t"), "event").where(F.col("t").isNotNull())
+    place = F.row_number().over(W.partitionBy("session_id", "t").orderBy("event"))
+    return marks.select(F.concat_ws("/", "session_id", F.col("t").cast("string"), place.cast("string")).alias("marker_id"), "session_id", "t", "event")
 
 
 def read_intervals(spark: SparkSession, root: str, kind: str) -> DataFrame:

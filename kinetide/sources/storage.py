@@ -1,6 +1,7 @@
 """Feature tables, caches, result logs and model parameters on storage."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,8 +35,11 @@ def read_features(spark: SparkSession, path: str, feature_set: str) -> tuple[Dat
     return table.withColumn("day_str", F.col("day_str").cast("string")), list(names)
 
 
-def cached_features(spark: SparkSession, path: str, feature_set: str, build: Callable[[], tuple[DataFrame, list[str]]]) -> tuple[DataFrame, list[str]]:
-    """Build a feature set once; later calls read the stored table."""
+def cached_features(spark: SparkSession, path: str, feature_set: str, build: Callable[[], tuple[DataFrame, list[str]]],
+                    options: dict | None = None, inputs: str = "") -> tuple[DataFrame, list[str]]:
+    """Build a feature set once for given options (buffer, window, ...) and inputs (`packets.listing`); later calls read the stored table."""
+    if options or inputs:
+        feature_set = f"{feature_set}-{hashlib.md5(repr((sorted((options or {}).items()), inputs)).encode()).hexdigest()}"
     try:
         return read_features(spark, path, feature_set)
     except Exception as error:
