@@ -19,7 +19,7 @@ OUTPUT = (
 )
 STATE = (
     "t array<bigint>, v array<array<double>>, last_eval bigint, last_fired bigint, last_alert bigint, next_idx bigint, "
-    "newest bigint, n_late bigint"
+    "newest bigint, n_late bigint, seen bigint, held_t array<bigint>, held_v array<array<double>>, held_event array<string>"
 )
 Vectoriser = Callable[[np.ndarray, dict[str, np.ndarray], int], dict[str, float]]
 
@@ -78,22 +78,30 @@ def probability(vector: dict[str, float], model: dict) -> float:
 def live_alerts(
     packets: DataFrame, model: dict, vectorise: Vectoriser, channels: Sequence[str] = tuple(ACCEL + GYRO), window: int = 60_000,
     interval: int = 5_000, least: int = 1500, threshold: float = 0.5, cooldown: int = 30_000, grace: int = 300_000,
+    lateness: int = 0,
 ) -> DataFrame:
     """Score each session's stream and match outcome marks.
 
-    `packets` holds samples and marks: session_id, t, event (NULL for a sample), channels. Time is event time; rows
-    older than what a session has already processed are counted as late and not used. State per session is the rolling
-    window, at most window x sampling rate rows.
+    `packets` holds samples and marks: session_id, t, event (NULL for a sample), channels. Time is event time. A row waits
+    until its session has shown one that is `lateness` newer, and rows are then taken in order, so files may come out of
+    order by that much without a change of the result. Rows older than what was taken already are counted (n_late) and not
+    used. State per session is the rolling window and what waits, at most (window + lateness) x sampling rate rows.
     """
     channels = list(channels)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(frames)).sort_values("t", kind="stable")
+        batch = pd.concat(list(frames))
         if state.exists:
-            t, v, last_eval, last_fired, last_alert, next_idx, newest, n_late = state.get
+            t, v, last_eval, last_fired, last_alert, next_idx, newest, n_late, seen, *held = state.get
             t, v = list(t), [list(r) for r in v]
+            waited = pd.DataFrame([list(r) for r in held[1]], columns=channels, dtype=float).assign(t=list(held[0]), event=pd.Series(list(held[2]), dtype=object))
+            batch = pd.concat([waited, batch[[*channels, "t", "event"]]]) if len(waited) else batch
         else:
-            t, v, last_eval, last_fired, last_alert, next_idx, newest, n_late = [], [], None, None, None, 0, None, 0
+            t, v, last_eval, last_fired, last_alert, next_idx, newest, n_late, seen = [], [], None, None, None, 0, None, 0, None
+        batch = batch.sort_values("t", kind="stable")
+        seen = int(batch["t"].iloc[-1]) if seen is None else max(seen, int(batch["t"].iloc[-1]))
+        held = batch[batch["t"] > seen - lateness] if lateness else batch.iloc[:0]
+        batch = batch.iloc[:len(batch) - len(held)]
         out = []
         values, times, events = batch[channels].to_numpy(float), batch["t"].to_numpy(), batch["event"].to_numpy()
         low = 0
@@ -124,7 +132,8 @@ def live_alerts(
                 last_fired, last_alert = now, next_idx
             out.append((key[0], "eval", next_idx, now, len(now_t), p, hot and not quiet, quiet, None, None, None, n_late))
             next_idx += 1
-        state.update((t[low:], v[low:], last_eval, last_fired, last_alert, next_idx, newest, n_late))
+        waiting = (held["t"].astype(int).tolist(), held[channels].to_numpy(float).tolist(), [e if isinstance(e, str) else None for e in held["event"]])
+        state.update((t[low:], v[low:], last_eval, last_fired, last_alert, next_idx, newest, n_late, seen, *waiting))
         names = [part.split()[0] for part in OUTPUT.split(", ")]
         yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None) if out else pd.DataFrame(columns=names)
 
@@ -159,10 +168,10 @@ def write_logs(alerts: DataFrame, out: str, checkpoint: str, available_now: bool
         batch.persist()
         evals = batch.where(F.col("kind") == "eval").select(
             "session_id", "eval_idx", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("utc_iso"), F.col("t").alias("timestamp_ms"),
-            F.col("n_samples").alias("n_samples_in_window"), "probability", "alert_fired", "suppressed_by_cooldown")
+            F.col("n_samples").alias("n_samples_in_window"), "probability", "alert_fired", "suppressed_by_cooldown", "n_late")
         outcomes = batch.where(F.col("kind") == "outcome").select(
             "session_id", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("utc_iso"), F.col("t").alias("timestamp_ms"), "event",
-            "matched_alert_idx", (F.col("since_alert") / 1000.0).alias("seconds_since_alert"))
+            "matched_alert_idx", (F.col("since_alert") / 1000.0).alias("seconds_since_alert"), "n_late")
         evals.write.mode("overwrite").parquet(f"{out}/eval_log/batch={number}")
         outcomes.write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
         batch.unpersist()
