@@ -130,9 +130,11 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     empty one. Only texts with entities are written and shuffled; a hot entity is a hot key of a plain join, which the
     adaptive planner splits.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>")).alias("found"))
-    clean = docs.where(F.size("found") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_distinct"))
-    some = docs.where(F.size("found") > 0).select("doc_id", F.split("text", ANY, -1).alias("between"), "found", F.monotonically_increasing_id().alias("row"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # most texts have no digit, @ or title: the one long pattern is for the others
+    some = F.coalesce(F.col("text").rlike("[0-9@]") | F.col("text").rlike(NAME), F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    clean = docs.where(~some).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_distinct"))
+    some = docs.where(some).select("doc_id", F.split("text", ANY, -1).alias("between"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"), F.monotonically_increasing_id().alias("row"))
     some = staged(some, "with_entities")
     mentions = some.select("row", F.posexplode("found").alias("place", "found")).withColumn("kind", _kind(F.col("found")))
     mentions = mentions.withColumn("core", _core(F.col("kind"), F.col("found")))
