@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kinetide.llm.common import shared_path, small_batches, staged
 
 CHUNK = 1 << 16  # characters of a payload that are encoded at once, and bytes that are read at once
-ARCHIVE = 64 << 20  # bytes after which a task begins another archive
+ARCHIVE = 64 << 20  # bytes on storage after which a task begins another archive
 DATE = "2000-01-01T00:00:00Z"  # records of equal input are equal
 LEAST_REVISIT = 0  # payload bytes from which a repeated payload is a revisit
 
@@ -87,18 +89,21 @@ def _write(folder: str):
         for batch in batches:
             for page, row, url, html, size, digest, kind, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "row", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"))):
                 if out is None:
-                    name = f"{path}/{uuid.uuid4().hex}.warc"
-                    out = system.open_output_stream(name)
+                    name = f"{path}/{uuid.uuid4().hex}.warc.gz"
+                    out = system.open_output_stream(name, compression=None)
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
                 target = (url or "").translate({13: "%0D", 10: "%0A", 32: "%20"})
                 fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{_name(page, row)}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
                 if kind == "revisit":
                     fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{'' if refers is None else refers}>")]
-                out.write(_head(fields, len(http) + (size if kind == "response" else 0)) + http)
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)  # each record is a gzip member of its own
+                write = lambda data, packer=packer: out.write(packer.compress(data))  # noqa: E731, B023
+                write(_head(fields, len(http) + (size if kind == "response" else 0)) + http)
                 if kind == "response":
                     for _, data, _, _ in payload_chunks(html or ""):
-                        out.write(data)
-                out.write(b"\r\n\r\n")
+                        write(data)
+                write(b"\r\n\r\n")
+                out.write(packer.flush())
                 if out.tell() >= ARCHIVE:
                     done.append((name, out.tell()))
                     out.close()
@@ -160,7 +165,7 @@ def _read(folder: str, keep_bytes: bool):
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows = []
-                with system.open_input_stream(path) as raw, io.BufferedReader(raw, CHUNK) as stream:
+                with system.open_input_stream(path, compression=None) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), CHUNK) as stream:
                     for name, kind, refers, stated, size, chunk, data, digest, last in read_records(stream):
                         page, row = name.split(":")[2:]
                         rows.append((number(page), int(row), kind, number(refers.rpartition(":")[2]), stated, size, chunk, len(data), digest, last, *[data] * keep_bytes))
@@ -177,7 +182,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> tuple[str, D
     spark = pages.sparkSession
     small_batches(spark)
     columns = [F.col("page_id").cast("long").alias("page_id"), F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), "html"]
-    pages = staged(pages.select(*columns).withColumn("row", F.monotonically_increasing_id()), "pages")
+    pages = staged(pages.select(*columns).withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd")
     sizes = pages.select("page_id", "row", "html").mapInArrow(_digests, "page_id long, row long, payload_bytes long, payload_digest string")
     kinds = record_types(staged(sizes, "digests"), least).drop("page_id")
     folder = shared_path(spark, "warc")
