@@ -95,7 +95,10 @@ def replicates(rows: DataFrame, names: Sequence[str], draws: DataFrame, scorer:
     moments = moments or models.group_moments(rows, names, group)
     plan = resample_folds(draws)
     design = _designs(plan, moments.groups)
-    design = models.keep_models(design, models.two_class(moments, design))
+    if design.ids:
+        design = models.keep_models(design, models.two_class(moments, design))
+    if not design.ids:  # no fold of these replicates can be fitted
+        return plan.select("rep", F.lit(None).cast("double").alias("mean_auc")).limit(0)
     aucs = metrics.roc_auc(scorer(rows, moments, design), ["model_id"]).where(F.col("auc").isNotNull()).select("model_id", "auc")
     keyed = plan.withColumn("model_id", F.concat_ws("|", "test_day", "train_key"))
     return keyed.join(aucs, "model_id").groupBy("rep").agg(F.avg("auc").alias("mean_auc"))
