@@ -7,9 +7,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from kinetide.llm.common import SPACES, TokenPool, Words, byte_level_encoder, mix, small_batches
+from kinetide.llm.common import SPACES, TokenPool, Words, byte_level_encoder, mix, small_batches, staged
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -32,6 +32,11 @@ BANDS = {
     "han": (0.25, 4.0, 0.90, 0.20), "hangul": (0.25, 4.0, 0.90, 0.20), "other": (0.2, 12.0, 0.95, 0.20),
 }
 LEAST_TOKENS = 50  # shorter texts say too little about fertility
+# The bands above hold for any text. Inside them, each group of one script and one label of language has its own, from the median and the median
+# deviation of all its documents: characters a token on both sides, tokens a word above.
+LEAST_DOCUMENTS = 100  # groups of fewer documents have no bands of their own
+DEVIATIONS = 5.0  # that a long text may be from the median; shorter ones more, by SHORT
+SHORT = 400.0
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, "
@@ -138,7 +143,8 @@ def _judged(batch: pa.RecordBatch, fertility: Fertility) -> list[tuple]:
         repeated, script = repeated_words(w), script_of(text)
         failed = len(w) < 10 or 100 * repeated > 20 * len(w)
         per_token, fallen = (c / tokens, fallen / c) if tokens and c else (None, None)
-        kept = not failed and in_band(script, per_token, fallen, share, tokens)
+        bare = script == "other" and text.isascii() and tokens >= LEAST_TOKENS  # many tokens and no letter of any script
+        kept = not failed and not bare and in_band(script, per_token, fallen, share, tokens)
         rows.append((len(w), c, s, duplicate_lines(text), repeated, script, per_token, fallen, entropy, share, failed, kept))
     return rows
 
@@ -150,33 +156,79 @@ def _measure(byte_level: str, fallback: str):
         kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 4 + [pa.bool_()] * 2
         for batch in batches:
             columns = list(zip(*_judged(batch, fertility))) or [[]] * 12
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column("lang")], [*names, "lang"])
     return run
 
 
-def _filter(byte_level: str, fallback: str):
+def _measured_rows(byte_level: str, fallback: str):
+    """Whole rows with the script, characters a token, letters and words of the text, and the verdict by the fixed bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(byte_level, fallback)
+        kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
-            yield batch.filter(pa.array([row[-1] for row in _judged(batch, fertility)], pa.bool_()))
+            rows = [(r[5], r[6], r[1], r[0], r[-1]) for r in _judged(batch, fertility)]
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], [*batch.schema.names, *ADDED])
     return run
 
 
+ADDED = ("__script", "__per_token", "__chars", "__words", "__kept")
+
+
+def _far(x: Column, name: str, tokens: Column) -> Column:
+    """Deviations from the group's median."""
+    return (x - F.col(f"mid_{name}")) / (F.col(f"dev_{name}") * F.sqrt(1 + F.lit(SHORT) / tokens))
+
+
+def _in_own_band(rows: DataFrame, script: str, per_token: str, chars: str, words: str, kept: str, lang: str) -> DataFrame:
+    """rows (a written table) with the column kept set to false where a text leaves the bands of its script and language.
+
+    Medians are aggregated by Spark over all documents that the fixed rules keep and that have LEAST_TOKENS tokens; a group
+    is taken to be prose for the most part. Its documents are few numbers, merged in each task, and the bands are one row a group.
+    """
+    tokens = F.col(chars) / F.col(per_token)
+    seen = rows.where(F.col(kept) & (tokens >= LEAST_TOKENS)).select(F.col(script).alias("s"), F.col(lang).alias("l"), F.col(per_token).alias("cpt"), (tokens / F.col(words)).alias("tpw"))
+    group = F.coalesce(F.col("l"), F.lit("")), F.col("l").isNull()
+    seen = seen.select("s", group[0].alias("l"), group[1].alias("none"), "cpt", "tpw")
+    keys = ["s", "l", "none"]
+    mids = staged(seen.groupBy(*keys).agg(F.percentile_approx("cpt", 0.5).alias("mid_cpt"), F.percentile_approx("tpw", 0.5).alias("mid_tpw"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS), "medians")
+    bands = seen.join(mids, keys).groupBy(*keys, "mid_cpt", "mid_tpw").agg(
+        *(F.percentile_approx(F.abs(F.col(x) - F.col(f"mid_{x}")), 0.5).alias(f"mad_{x}") for x in ("cpt", "tpw")))
+    bands = staged(bands.select(*keys, "mid_cpt", "mid_tpw", *(F.greatest(1.4826 * F.col(f"mad_{x}"), 0.01 * F.col(f"mid_{x}")).alias(f"dev_{x}") for x in ("cpt", "tpw"))), "bands")
+    bands = bands.select(*(F.col(k).alias(f"__{k}") for k in keys), "mid_cpt", "mid_tpw", "dev_cpt", "dev_tpw").alias("b")
+    d = rows.alias("d")
+    joined = d.join(bands, (F.col(f"d.{script}") == F.col("b.__s")) & (F.coalesce(F.col(f"d.{lang}"), F.lit("")) == F.col("b.__l")) & (F.col(f"d.{lang}").isNull() == F.col("b.__none")), "left")
+    tokens = F.col(f"d.{chars}") / F.col(f"d.{per_token}")
+    out = (F.abs(_far(F.col(f"d.{per_token}"), "cpt", tokens)) > DEVIATIONS) | (_far(tokens / F.col(f"d.{words}"), "tpw", tokens) > DEVIATIONS)
+    verdict = F.col(f"d.{kept}") & ~F.coalesce((tokens >= LEAST_TOKENS) & out, F.lit(False))
+    return joined.select(*(verdict.alias(c) if c == kept else F.col(f"d.`{c}`") for c in rows.columns))
+
+
+def _language(docs: DataFrame) -> Column:
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string")
+
+
 def quality(docs: DataFrame, byte_level: str | None = None, fallback: str | None = None) -> DataFrame:
-    """Counts, fertility and verdict of each row of docs (doc_id, text).
+    """Counts, fertility and verdict of each row of docs (doc_id, text, and lang if there is one).
 
-    Null and empty texts have no words: base_failed, all counts 0, fertility null. Repeated rows are judged alike, a null
-    doc_id stays null, other columns are not read, an empty table gives an empty one. One pass without a shuffle; long texts
-    are read in slices. byte_level and fallback: paths of the vocabularies on the executors.
+    Null and empty texts have no words: base_failed, all counts 0, fertility null. Repeated rows of one lang are judged alike,
+    a null doc_id stays null, other columns are not read, an empty table gives an empty one. One pass over the texts, whose
+    figures are written; bands come from these. Long texts are read in slices. byte_level and fallback: paths of the
+    vocabularies on the executors.
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure(*_paths(byte_level, fallback)), SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _language(docs).alias("lang"))
+    rows = staged(rows.mapInArrow(_measure(*_paths(byte_level, fallback)), f"{SCHEMA}, lang string"), "fertility")
+    return _in_own_band(rows, "script", "chars_per_token", "word_chars", "n_words", "kept", "lang").drop("lang")
 
 
 def good_documents(docs: DataFrame, byte_level: str | None = None, fallback: str | None = None) -> DataFrame:
-    """The rows of docs (text and any other columns) whose text quality() keeps, in one pass without a shuffle."""
+    """The rows of docs (text and any other columns) whose text quality() keeps; rows are written once with their figures."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_filter(*_paths(byte_level, fallback)), docs.schema)
+    rows = docs.withColumn("__lang", _language(docs))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k()) for n, k in zip(ADDED, (T.StringType, T.DoubleType, T.LongType, T.LongType, T.BooleanType)))])
+    rows = staged(rows.mapInArrow(_measured_rows(*_paths(byte_level, fallback)), schema).where("__kept"), "fertility")
+    return _in_own_band(rows, *ADDED, "__lang").where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _paths(byte_level: str | None, fallback: str | None) -> tuple[str, str]:

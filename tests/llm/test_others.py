@@ -38,6 +38,32 @@ def test_quality_bands(spark):
     assert quality.in_band("latin", 4.0, 0.0, 0.7, 100) and not quality.in_band("latin", 4.0, 0.5, 0.7, 100) and not quality.in_band("latin", 0.8, 0.0, 0.7, 100)
 
 
+def test_quality_bands_of_each_language(spark):
+    import base64
+    import random
+
+    rng = random.Random(4)
+    letters, symbols = "abcdefghijklmnopqrstuvwxyz", "!@#$%^&*()_+-=[]{}|;:,.<>?/~"
+    junk = {
+        "letters": lambda: " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(200)), "hex": lambda: " ".join("%032x" % rng.getrandbits(128) for _ in range(40)),
+        "base64": lambda: " ".join(base64.b64encode(rng.randbytes(45)).decode() for _ in range(30)),
+        "mixed": lambda: " ".join("".join(rng.choices(letters + letters.upper() + "0123456789", k=8)) for _ in range(200)),
+        "symbols": lambda: " ".join("".join(rng.choices(symbols, k=8)) for _ in range(100)),
+        "a letter and symbols": lambda: "a " + " ".join("".join(rng.choices(symbols, k=8)) for _ in range(100)),
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    langs = [r.lang for r in docs.groupBy("lang").count().where("count > 120").collect()]
+    bad = [(10**6 + i, f(), lang) for i, (f, lang) in enumerate((f, lang) for f in junk.values() for lang in langs)]
+    every = docs.unionByName(spark.createDataFrame(bad, docs.schema)).repartition(3)
+    got = rows(quality.quality(every))
+    assert langs and not [i for i, *_ in bad if got[i].base_failed or got[i].kept]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    clean = [r.kept for d, r in got.items() if labels.get(d) == 1 and not r.base_failed]
+    poor = [r.kept for d, r in got.items() if labels.get(d) == 0 and not r.base_failed]
+    assert np.mean(clean) > 0.99 and np.mean(poor) < 0.7
+    assert sorted(r.doc_id for r in quality.good_documents(every).collect()) == sorted(d for d, r in got.items() if r.kept)
+
+
 def test_good_documents_keep_their_columns(odd):
     kept = quality.good_documents(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 9}
