@@ -19,9 +19,9 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "guess")
 
-# Where credentials stand: wider than assign in words, separators and characters of the value.
+# Where credentials stand: wider than assign in words, separators and characters of the value; a quoted value goes to the closing quote on its line.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|passwort|kennwort|contrase(?:ñ|n)a|mot\x20de\x20passe|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth|credentials?|login)["']?[\x20\t]{0,4}(?:=>|:=|[:=])[\x20\t]{0,4}["'`]?([^\s"'`<>(){}\[\],;]+)""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|passwort|kennwort|contrase(?:ñ|n)a|mot\x20de\x20passe|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth|credentials?|login)["']?[\x20\t]{0,4}(?:=>|:=|[:=])[\x20\t]{0,4}(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|["'`]?([^\s"'`<>(){}\[\],;]+))""",
     re.I,
 )
 HINTS = ("pass", "pwd", "kennwort", "contrase", "secret", "token", "key", "auth", "credential", "login")
@@ -132,7 +132,7 @@ def find_secrets(text: str, words: dict[str, float]) -> tuple[list[tuple[int, in
     spans += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
     values = {m.span(2) for m in assigned}
     if any(h in low for h in HINTS):
-        values |= {(m.start(1), m.start(1) + len(m[1].rstrip(".!?:"))) for m in CONTEXT.finditer(text)}
+        values |= {m.span(m.lastindex) if m.lastindex < 4 else (m.start(4), m.start(4) + len(m[4].rstrip(".!?:"))) for m in CONTEXT.finditer(text)}
     ends = []  # base spans, to leave out values that one of them holds
     base = sorted((s, e) for _, s, e in spans)
     reach = 0

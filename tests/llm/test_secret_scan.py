@@ -55,6 +55,19 @@ def test_base_spans_and_context():
     assert s.find_secrets("password: token: abcdefgh", WORDS)[0] == []
 
 
+@pytest.mark.parametrize(("text", "hidden"), [
+    ("dbPassword=Xy#9kQ!7zLp end", "Xy#9kQ!7zLp"), ("userPwd=Xy#9kQ!7zLp end", "Xy#9kQ!7zLp"), ('password="correct horse battery staple" end', "correct horse battery staple"),
+    ("secret: 'tr0ub4dor & 3 zebras' end", "tr0ub4dor & 3 zebras"), ('pwd = "no closing Xy#9kQ\n" end', None),
+])
+def test_prefixed_keys_and_quoted_values(text, hidden):
+    spans, _ = s.find_secrets(text, WORDS)
+    if hidden is None:
+        assert not spans
+    else:
+        at = text.index(hidden)
+        assert (3, at, at + len(hidden)) in spans and s.hide(text, spans).endswith(" end") and hidden.split()[-1] not in s.hide(text, spans)
+
+
 def test_query_shape(odd, none, small):
     found = s.scan_secrets(odd)
     assert found.count() == odd.count() and s.scan_secrets(none).count() == 0
