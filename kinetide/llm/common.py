@@ -40,7 +40,16 @@ def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df as a written table in the shared folder: later passes read columns instead of computing them again."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a staged table; nothing that is read later may rest on it."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -57,3 +57,25 @@ select page_id, payload_bytes, payload_digest, case when page_id = last then 're
   case when page_id <> last then last end refers_to, cast(case when page_id = last then greatest(1, ceil(payload_bytes / 65536.0)) else 0 end as bigint) chunks from m
 """
 ORACLE["op2_chunked_warc"] = _WARC
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEARCH = f"""
+with d as (
+  select cast(doc_id as bigint) doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') t,
+    row_number() over () r from documents),
+q as (
+  select distinct cast(item_id as bigint) item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) term
+  from benchmark where item_id is not null),
+g as (select cast(count(*) as bigint) nd, cast(sum(len(t)) as bigint) l from d where len(t) > 0),
+p as (
+  select r, doc_id, cast(len(t) as bigint) n, unnest(t) term from d),
+f as (select r, doc_id, n, term, cast(count(*) as bigint) tf from p where term in (select term from q) group by all),
+w as (select term, cast(floor(1000 * ln((2 * any_value(nd) + 2)::double / (2 * count(*) + 1)::double)) as bigint) w from f, g group by term),
+s as (
+  select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) as bigint) score
+  from q join f using (term) join w using (term), g group by item_id, r, doc_id),
+k as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) rank, doc_id, score from s where score > 0)
+select * from k where rank <= 50
+"""
+ORACLE["op13_shared_term_search"] = _SEARCH
