@@ -4,12 +4,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from kinetide.operators import metrics, models
+from kinetide.operators import forests, metrics, models
 
 REPS_PER_CHUNK = 20
 
@@ -74,19 +73,9 @@ def bayes_scorer(group: str = "day_str") -> Scorer:
     return lambda rows, moments, design: models.score_bayes(rows, models.fit_bayes(moments, design), group=group)
 
 
-def tree_scorer(names: Sequence[str], make: Callable[[], object], balanced: bool, group: str = "day_str") -> Scorer:
-    """One Spark ML fit per distinct resample; a day's multiplicity is its row weight."""
-    def run(rows: DataFrame, moments: models.Moments, design: models.Design) -> DataFrame:
-        from kinetide.operators import validation
-
-        data = validation.assembled(rows, names, group).persist()
-        counts = moments.class_counts(design.weights)
-        parts = []
-        for k, w in enumerate(design.weights):
-            times = {g: float(x) for g, x in zip(design.groups, w) if x > 0}
-            parts.append(validation.fit_one(data, make, times, design.test_group[k], design.ids[k], counts[k] if balanced else None))
-        return reduce(DataFrame.unionByName, parts)
-    return run
+def tree_scorer(names: Sequence[str], make: Callable[[], forests.Ensemble], balanced: bool, group: str = "day_str") -> Scorer:
+    """Tree ensembles of all distinct resamples of a batch; a day's multiplicity counts its rows."""
+    return lambda rows, moments, design: forests.fit_and_score(rows, names, design, moments, make(), balanced, group)[0]
 
 
 def replicates(rows: DataFrame, names: Sequence[str], draws: DataFrame, scorer: Scorer, group: str = "day_str",

@@ -2,15 +2,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from kinetide.operators import metrics, models
+from kinetide.operators import forests, metrics, models
 from kinetide.operators.matching import nearest_controls
 
 # Fixed grids of the evaluations.
@@ -118,62 +114,37 @@ def conditional(rows: DataFrame, names: Sequence[str], width: int, group: str =
     return models.score_linear(rows, fitted, group=group, closed=True)
 
 
-def forest(seed: int = 42, **options) -> RandomForestClassifier:
-    defaults = dict(numTrees=200, maxDepth=3, minInstancesPerNode=8, featureSubsetStrategy="sqrt", seed=seed)
-    return RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", **{**defaults, **options})
+def forest(seed: int = 42, **options) -> forests.Ensemble:
+    return forests.Ensemble(**{**dict(trees=200, depth=3, leaf=8, seed=seed), **options})
 
 
-def boosting(seed: int = 42, **options) -> GBTClassifier:
-    defaults = dict(maxIter=100, maxDepth=2, stepSize=0.05, minInstancesPerNode=8, seed=seed)
-    return GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", **{**defaults, **options})
+def boosting(seed: int = 42, **options) -> forests.Ensemble:
+    return forests.Ensemble(**{**dict(trees=100, depth=2, leaf=8, boosting=True, rate=0.05, seed=seed), **options})
 
 
-def full_forest(seed: int = 42, **options) -> RandomForestClassifier:
-    """200 trees as deep as the library grows them, down to single rows."""
-    return forest(seed, **{**dict(maxDepth=30, minInstancesPerNode=1), **options})
+def full_forest(seed: int = 42, **options) -> forests.Ensemble:
+    """200 trees down to single rows or 30 levels."""
+    return forest(seed, **{**dict(depth=30, leaf=1), **options})
 
 
-def deep_boosting(seed: int = 42, **options) -> GBTClassifier:
+def deep_boosting(seed: int = 42, **options) -> forests.Ensemble:
     """200 rounds of depth 3."""
-    return boosting(seed, **{**dict(maxIter=200, maxDepth=3, stepSize=0.1, minInstancesPerNode=1), **options})
+    return boosting(seed, **{**dict(trees=200, depth=3, leaf=1, rate=0.1), **options})
 
 
-def assembled(rows: DataFrame, names: Sequence[str], group: str) -> DataFrame:
-    plain = rows.select(F.col(group).cast("string").alias("__g"), F.col("label").cast("int").alias("label"),
-                        *[F.col(n).cast("double").alias(n) for n in names])
-    return VectorAssembler(inputCols=list(names), outputCol="x").transform(plain).select("__g", "label", "x")
-
-
-def fit_one(data: DataFrame, make: Callable[[], object], times: dict[str, float], test_group: str, model_id: str, counts) -> DataFrame:
-    """Fit on the groups of `times` with their multiplicity as weight (and balanced classes given their counts), score one group."""
-    multiplicity = F.element_at(F.create_map(*[F.lit(x) for pair in times.items() for x in pair]), F.col("__g"))
-    train = data.where(F.col("__g").isin(list(times))).withColumn("w", multiplicity)
-    if counts is not None:
-        total = float(counts.sum())
-        train = train.withColumn("w", F.col("w") * F.when(F.col("label") == 1, total / (2 * float(counts[1]))).otherwise(total / (2 * float(counts[0]))))
-    fitted = make().fit(train)
-    out = fitted.transform(data.where(F.col("__g") == test_group).withColumn("w", F.lit(1.0)))
-    return out.select(F.lit(model_id).alias("model_id"), "label", vector_to_array("probability")[1].alias("score"))
+def trees(rows: DataFrame, names: Sequence[str], make: Callable[[], forests.Ensemble], balanced: bool, group: str = "day_str",
+          test_groups: Sequence[str] | None = None, key: Column | None = None) -> DataFrame:
+    """Tree ensembles of all folds, grown together; the scores are written before they are returned."""
+    moments, design = folds(rows, names, group)
+    design = models.keep_models(design, np.array([test_groups is None or g in test_groups for g in design.test_group], bool))
+    return forests.fit_and_score(rows, names, design, moments, make(), balanced, group, key)[0]
 
 
-def trees(rows: DataFrame, names: Sequence[str], make: Callable[[], object], balanced: bool, group: str = "day_str",
-          test_groups: Sequence[str] | None = None, parallel: int = 4) -> DataFrame:
-    """Tree ensembles of Spark ML, one fit per fold; folds run side by side like CrossValidator's parallelism."""
-    moments, design = folds(rows, names, group)
-    data = assembled(rows, names, group).persist()
-    counts = moments.class_counts(design.weights)
-
-    def one(k: int) -> DataFrame:
-        times = {g: float(w) for g, w in zip(design.groups, design.weights[k]) if w > 0}
-        return fit_one(data, make, times, design.test_group[k], design.ids[k], counts[k] if balanced else None)
-
-    wanted = [k for k in range(len(design.ids)) if test_groups is None or design.test_group[k] in test_groups]
-    with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(one, wanted))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return scored.withColumn("predicted", (F.col("score") > 0.5).cast("int"))
+def grow_all(rows: DataFrame, names: Sequence[str], kind: forests.Ensemble, balanced: bool, group: str = "day_str") -> forests.Grown:
+    """One tree ensemble on every row, as `fit_all` for linear models."""
+    moments = models.group_moments(rows, names, group)
+    design = models.Design(["all"], moments.groups, np.ones((1, len(moments.groups))), [""])
+    return forests.fit(rows, names, design, moments, kind, balanced, group)
 
 
 def holdout(rows: DataFrame, names: Sequence[str], group: str = "day_str", test_day: str | None = None, C: float = BASELINE_C) -> DataFrame:

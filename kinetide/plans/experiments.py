@@ -127,7 +127,7 @@ def augmented_logistic(rows: DataFrame, names: Sequence[str], C: float = validat
 def train_and_select(rows: DataFrame, names: Sequence[str], kinds: Sequence[str] = STANDARD, store: str | None = None) -> tuple[str, DataFrame, DataFrame]:
     """Best classifier by mean AUC over day folds (first maximum), then its result on the held-out last day.
 
-    store: a folder for the fold results, the report and, of a linear winner, its parameters without the last day.
+    store: a folder for the fold results, the report and the winner without the last day: parameters, or a table of tree nodes.
     """
     spark = rows.sparkSession
     scored = {k: cut_lineage(CLASSIFIERS[k](rows, names)) for k in kinds}
@@ -152,6 +152,10 @@ def train_and_select(rows: DataFrame, names: Sequence[str], kinds: Sequence[str]
         if strength is not None:
             fitted = validation.fit_all(rows.where(F.col("day_str") != last), names, strength)
             storage.write_model(spark, fitted, f"{store}/model")
+        elif best in TREES:
+            make, balanced = TREES[best]
+            grown = validation.grow_all(rows.where(F.col("day_str") != last), names, make(), balanced)
+            grown.to_frame(spark).write.mode("overwrite").parquet(f"{store}/model_trees")
     return best, table, report
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from kinetide.operators import forests
 from kinetide.functions.dsp import EDGE, MUSCLE_LOW
 from kinetide.plans import tables as T
 
@@ -242,6 +243,44 @@ sc AS (SELECT rep || '|' || test AS model_id, rep, y AS label, l + ln(n1) - ln(n
 SELECT rep, {r('avg(auc)', 'mean_auc')} FROM aucs WHERE auc IS NOT NULL GROUP BY 1"""
 
 
+def forest_scores(trees: int = 200, depth: int = 3, leaf: int = 8, seed: int = 42) -> str:
+    """CTEs up to sc(model_id, label, score, predicted): a forest for each day left out, level by level, over the embeddings."""
+    P, d, k = forests.PRIME, 64, 8
+    half = lambda text, at: f"CAST('0x' || substr(md5({text}), {at}, 8) AS BIGINT)"
+    bag = " + ".join(f"CAST(u >= {x} AS BIGINT)" for x in forests.POISSON)
+    probs = ", ".join(f"{i}.0 / {forests.BINS}" for i in range(1, forests.BINS))
+    parts = [f"""
+em AS (SELECT vec_id, 'd' || (vec_id % 5) AS day, CAST(label >= 5 AS INTEGER) AS y, unnest(range({d})) AS f, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+ct AS (SELECT DISTINCT f, unnest(quantile_cont(v, [{probs}])) AS c FROM em GROUP BY f),
+bn AS MATERIALIZED (SELECT vec_id, em.f, count(*) FILTER (WHERE c < v) AS bin FROM em JOIN ct ON em.f = ct.f GROUP BY 1, 2),
+tr AS (SELECT CAST(range AS BIGINT) AS t, {half(f"'{seed}:' || range", 1)} % {P - 1} + 1 AS ta, {half(f"'{seed}:' || range", 9)} % {P} AS tb FROM range({trees})),
+rw AS (SELECT vec_id, 'd' || (vec_id % 5) AS day, CAST(label >= 5 AS INTEGER) AS y, {half('CAST(vec_id AS VARCHAR)', 1)} AS h FROM embeddings),
+bg AS (SELECT vec_id, day, y, t, {bag} AS m FROM (SELECT *, (h * ta + tb) % {P} AS u FROM rw, tr)),
+fo AS (SELECT DISTINCT day AS fold FROM rw),
+cw AS (SELECT fold, y, CAST(round(sum(count(*)) OVER (PARTITION BY fold) / (2.0::DOUBLE * count(*)) * {forests.CLASS_UNIT}) AS BIGINT) AS w FROM rw JOIN fo ON day <> fold GROUP BY fold, y),
+ch AS MATERIALIZED (SELECT t, path, f FROM (SELECT *, row_number() OVER (PARTITION BY t, path ORDER BY (x * x) % {P}, f) AS rn FROM
+  (SELECT t, path, f, ((path * 7919 + f + 1) * ta + tb) % {P} AS x FROM tr, (SELECT CAST(range AS BIGINT) AS path FROM range(1, {2 ** depth})), (SELECT CAST(range AS BIGINT) AS f FROM range({d})))) WHERE rn <= {k}),
+s0 AS MATERIALIZED (SELECT bg.fold, t, vec_id, 1::BIGINT AS path, CAST(bg.y = 0 AS BIGINT) * m * w AS a, CAST(bg.y = 1 AS BIGINT) * m * w AS b FROM (SELECT * FROM bg JOIN fo ON day <> fold WHERE m > 0) bg JOIN cw ON bg.fold = cw.fold AND bg.y = cw.y)"""]
+    for i in range(depth):
+        parts.append(f"""
+h{i} AS (SELECT fold, t, path, f, bin, count(*) AS n, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM s{i} JOIN ch USING (t, path) JOIN bn USING (vec_id, f) GROUP BY ALL),
+w{i} AS (SELECT *, sum(n) OVER l AS ln, sum(a) OVER l AS la, sum(b) OVER l AS lb, sum(n) OVER p AS tn, sum(a) OVER p AS ta, sum(b) OVER p AS tb FROM h{i}
+  WINDOW l AS (PARTITION BY fold, t, path, f ORDER BY bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY fold, t, path, f)),
+g{i} AS (SELECT *, (la * la + lb * lb) / (la + lb) + ((ta - la) * (ta - la) + (tb - lb) * (tb - lb)) / ((ta - la) + (tb - lb)) AS gain FROM w{i} WHERE ln >= {leaf} AND tn - ln >= {leaf} AND ta > 0 AND tb > 0),
+b{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, t, path ORDER BY gain DESC, f, bin) AS rn FROM g{i}) WHERE rn = 1),
+s{i + 1} AS MATERIALIZED (SELECT fold, t, vec_id, 2 * path + CAST(bn.bin > z.bin AS BIGINT) AS path, s.a, s.b FROM s{i} s JOIN b{i} z USING (fold, t, path) JOIN bn USING (vec_id, f))""")
+    value = lambda a, b: f"CAST(round({b} / ({a} + {b}) * {forests.VALUE_UNIT}) AS BIGINT)"
+    nodes = [f"SELECT fold, t, 1::BIGINT AS path, {value('sum(a)::DOUBLE', 'sum(b)::DOUBLE')} AS v FROM s0 GROUP BY 1, 2"]
+    nodes += [f"SELECT fold, t, 2 * path, {value('la', 'lb')} FROM b{i} UNION ALL SELECT fold, t, 2 * path + 1, {value('(ta - la)', '(tb - lb)')} FROM b{i}" for i in range(depth)]
+    parts.append(f"nd AS MATERIALIZED ({' UNION ALL '.join(nodes)}), t0 AS (SELECT day AS fold, t, vec_id, y, 1::BIGINT AS path FROM rw, tr)")
+    for i in range(depth):
+        parts.append(f"""t{i + 1} AS (SELECT q.fold, q.t, q.vec_id, y, CASE WHEN z.f IS NULL THEN q.path ELSE 2 * q.path + CAST(bn.bin > z.bin AS BIGINT) END AS path
+  FROM t{i} q LEFT JOIN b{i} z ON q.fold = z.fold AND q.t = z.t AND q.path = z.path LEFT JOIN bn ON bn.vec_id = q.vec_id AND bn.f = z.f)""")
+    parts.append(f"""sc AS MATERIALIZED (SELECT *, CAST(score > 0.5 AS INTEGER) AS predicted FROM (SELECT fold AS model_id, y AS label, sum(v)::DOUBLE / {trees * forests.VALUE_UNIT}::DOUBLE AS score
+  FROM t{depth} JOIN nd USING (fold, t, path) GROUP BY fold, vec_id, y))""")
+    return ",\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["lookback_windows"] = f"WITH {EV}, {MK}, {looks(T.LOOKBACK, 3)} SELECT * FROM pos"
@@ -412,6 +451,8 @@ SELECT a.rep, a.day AS test_day, string_agg(b.day || '*' || b.mult, ',' ORDER BY
     q["paired_diff"] = f"""WITH {reps}, df AS (SELECT b.v - a.v AS d FROM repa a JOIN repb b USING (rep))
 SELECT count(*) AS n_paired, {r('avg(d)', 'mean_diff')}, {r('quantile_cont(d, 0.025)', 'ci_low')}, {r('quantile_cont(d, 0.975)', 'ci_high')},
 {r('100.0 * avg(CASE WHEN d > 0 THEN 1 ELSE 0 END)', 'pct_better')}, false AS cross_population, quantile_cont(d, 0.025) > 0 AS significant FROM df"""
+    q["rf_cv"] = f"""WITH {forest_scores()}, {auc('sc', 'model_id')}, cf AS (SELECT model_id, {CONF} FROM sc GROUP BY 1)
+SELECT model_id, {r('auc', 'auc')}, {r(F1, 'f1')} FROM aucs JOIN cf USING (model_id)"""
     q["naive_bayes_cv"] = f"""WITH {naive_bayes()}, {auc('sc', 'model_id')}, cf AS (SELECT model_id, {CONF} FROM sc GROUP BY 1)
 SELECT model_id, {r('auc', 'auc')}, {r(F1, 'f1')} FROM aucs JOIN cf USING (model_id)"""
     q["window_bayes_cv"] = f"""WITH {feature_table()}, {window_bayes()}, {auc('sc', 'model_id')}, cf AS (SELECT model_id, {CONF} FROM sc GROUP BY 1)

@@ -641,7 +641,7 @@ def holdout_eval(spark, sf_dir):
 @query
 def rf_cv(spark, sf_dir):
     rows, names = T.embeddings(spark, sf_dir)
-    return rounded(metrics.fold_scores(validation.trees(rows, names, validation.forest, balanced=True), ["model_id"]))
+    return rounded(metrics.fold_scores(validation.trees(rows, names, validation.forest, balanced=True, key=F.col("vec_id")), ["model_id"]))
 
 
 @query

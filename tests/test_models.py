@@ -250,12 +250,12 @@ def test_auc_ties_and_missing_class(spark):
 
 def test_trees_score_every_fold(data):
     frame, rows = data
-    few = lambda: validation.forest(numTrees=20)
+    few = lambda: validation.forest(trees=20)
     clear = rows.withColumn("label", (F.col("a") > 0).cast("int"))  # one feature decides, so every fold must find it
     scores = metrics.fold_scores(validation.trees(clear, NAMES, few, balanced=True), ["model_id"]).collect()
     assert len(scores) == 5 and min(r.auc for r in scores) > 0.95
     assert validation.trees(rows, NAMES, few, balanced=True).select("model_id").distinct().count() == 4
-    boost = validation.trees(rows, NAMES, lambda: validation.boosting(maxIter=5), balanced=False, test_groups=["d1"])
+    boost = validation.trees(rows, NAMES, lambda: validation.boosting(trees=5), balanced=False, test_groups=["d1"])
     assert boost.count() == (frame.day_str == "d1").sum()
     draws = bootstrap.day_draws(rows, 1)
     assert bootstrap.replicates(rows, NAMES, draws, bootstrap.tree_scorer(NAMES, few, True)).count() == 1

@@ -5,8 +5,6 @@ import __spark_entry__ as contract
 import oracle
 
 SF = "/root/testdata/sf0.001"
-# Spark ML fits hundreds of trees here; tests/test_models.py covers them with fewer
-SLOW = {"rf_cv", "gbt_cv"}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +12,7 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in contract.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(contract.queries()))
 def test_query(spark, con, name):
     found, sql = contract.queries()[name](spark, SF), contract.oracle_sql().get(name)
     if sql is None:
