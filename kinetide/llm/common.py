@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -45,11 +46,14 @@ def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a staged table; nothing that is read later may rest on it."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing later reads. The shuffle files of steps that are over go with the driver's garbage."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

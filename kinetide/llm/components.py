@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from kinetide.llm.common import staged
+from kinetide.llm.common import discard, staged
 
 ROWS_PER_FILE = 50_000
 
@@ -33,7 +33,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large, _, _ = _written(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")), rows)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        old = edges, large
         edges, rows, sums = _written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), rows)
+        discard(*old)
         if seen == (rows, sums):
             break
         seen = rows, sums

@@ -227,8 +227,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
             break
         keyed = large.withColumnRenamed("a", "print").mapInArrow(_dealt(level), "key long, print long").distinct()
     found = staged(reduce(DataFrame.unionByName, links).distinct(), "links")
-    for table in old:
-        discard(table)
+    discard(*old)
     return found
 
 
