@@ -3,46 +3,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from kinetide.functions import dsp
-from kinetide.operators.ordered import Running, exact_percentiles, islands, row_numbers, running, time_bucket, trailing_halo
+from kinetide.operators.ordered import Running, exact_percentiles, islands, running, time_bucket, trailing_halo
+from kinetide.operators.recurrence import Filter, butterworth_low, zero_phase
 from kinetide.session import cut_lineage
 
 CHUNK_ROWS = 100_000
-HALO_ROWS = 2_000  # the filter's memory of an edge is below double precision after 1,000 samples
+LOWPASS_HZ, LOWPASS_ORDER, SAMPLE_HZ = 10.0, 4, 500.0
 
 
 def envelope(
-    samples: DataFrame, channel: str, width: int, order: Sequence[str] = ("t",), chunk: int = CHUNK_ROWS, halo: int = HALO_ROWS
+    samples: DataFrame, channel: str, width: int, order: Sequence[str] = ("t",), chunk: int = CHUNK_ROWS,
+    lowpass_hz: float = LOWPASS_HZ, lowpass_order: int = LOWPASS_ORDER, sample_hz: float = SAMPLE_HZ,
 ) -> DataFrame:
-    """Rectified, zero-phase low-passed signal as column `envelope`.
-
-    A series is filtered in overlapping row chunks, so its length never matters; a series too short for the
-    filter's edges yields no rows.
-    """
-    numbered = row_numbers(
-        samples.withColumn("__bucket", time_bucket("t", width)), ["session_id"], "__bucket", order, "__row"
-    ).drop("__bucket")
-    index = F.col("__row") - 1
-    first = F.greatest(F.lit(0), F.floor((index - halo) / chunk)).cast("long")
-    last = F.floor((index + halo) / chunk).cast("long")
-    spread = numbered.withColumn("__chunk", F.explode(F.sequence(first, last))).withColumn(
-        "__core", F.floor(index / chunk) == F.col("__chunk")
-    )
-    columns = samples.columns
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in samples.schema.fields] + ["envelope double"])
-
-    def filter_chunk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__row")
-        smooth = dsp.zero_phase(np.abs(frame[channel].to_numpy(dtype=float)), dsp.MUSCLE_LOW)
-        if smooth is None:
-            return frame.iloc[:0][columns].assign(envelope=pd.Series(dtype=float))
-        return frame.assign(envelope=smooth).loc[frame["__core"].to_numpy(dtype=bool), [*columns, "envelope"]]
-
-    return spread.groupBy("session_id", "__chunk").applyInPandas(filter_chunk, schema)
+    """Rectified, zero-phase low-passed signal as column `envelope`; a series too short for the filter's edges yields no rows."""
+    low = Filter(butterworth_low(lowpass_order, lowpass_hz, sample_hz))
+    rectified = samples.withColumn("__size", F.abs(F.col(channel).cast("double")))
+    return zero_phase(rectified, "__size", low, width, order, chunk, "envelope").drop("__size")
 
 
 def flag_above(series: DataFrame, value: str, factor: float = 3.0) -> DataFrame:
@@ -81,10 +59,10 @@ def at_least(intervals: DataFrame, duration: int) -> DataFrame:
 
 def find_candidates(
     packets: DataFrame, channel: str = "emg_raw", factor: float = 3.0, min_gap: int = 200, min_duration: int = 50,
-    width: int = 600_000, order: Sequence[str] = ("t",), chunk: int = CHUNK_ROWS,
+    width: int = 600_000, order: Sequence[str] = ("t",), chunk: int = CHUNK_ROWS, lowpass_hz: float = LOWPASS_HZ,
 ) -> DataFrame:
     """Candidate intervals (start_t, end_t, peak) of every session's muscle signal."""
-    smooth = cut_lineage(envelope(packets.select("session_id", *dict.fromkeys([*order, "t", channel])), channel, width, order, chunk))
+    smooth = cut_lineage(envelope(packets.select("session_id", *dict.fromkeys([*order, "t", channel])), channel, width, order, chunk, lowpass_hz))
     flagged = flag_above(smooth, "envelope", factor)  # reads the envelope several times, hence the written copy
     found = cut_lineage(runs(flagged, F.abs(F.col(channel).cast("int")), width, order))
     return at_least(merge_close(found, min_gap, width), min_duration)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from kinetide.operators import forests
+from kinetide.operators import forests, recurrence
 from kinetide.functions.dsp import EDGE, MUSCLE_LOW
 from kinetide.plans import tables as T
 
@@ -159,29 +159,30 @@ lo AS (SELECT vec_id, fold, y, sum(CASE WHEN c = 1 THEN l ELSE -l END) + ln(max(
 sc AS (SELECT fold AS model_id, y AS label, 1 / (1 + exp(-z)) AS score, CAST(z > 0 AS INTEGER) AS predicted FROM lo)"""
 
 
-def muscle_filter() -> str:
-    """Forward and backward recursion of the low-pass over the oddly extended series, sample by sample."""
-    b, a = (np.array(c) for c in MUSCLE_LOW)
-    step = np.zeros((4, 4))
+def muscle_filter(coefficients: tuple = MUSCLE_LOW) -> str:
+    """Forward and backward recursion of a low-pass over the oddly extended series, sample by sample."""
+    b, a = (np.array(c) for c in coefficients)
+    n, edge = len(a) - 1, 3 * len(a)
+    step = np.zeros((n, n))
     step[:, 0] = -a[1:]
-    step[:-1, 1:] += np.eye(3)
-    z = np.linalg.solve(np.eye(4) - step, b[1:] - a[1:] * b[0])  # state after a long constant input of 1
+    step[:-1, 1:] += np.eye(n - 1)
+    z = np.linalg.solve(np.eye(n) - step, b[1:] - a[1:] * b[0])  # state after a long constant input of 1
 
     def one(name: str, source: str) -> str:
         def advance(x: str, old: list[str]) -> str:
             y = f"({b[0]!r} * {x} + {old[0]})".replace("np.float64", "")
-            new = [f"{b[k]!r} * {x} - {a[k]!r} * {y}".replace("np.float64", "") + (f" + {old[k]}" if k < 4 else "") for k in range(1, 5)]
+            new = [f"{b[k]!r} * {x} - {a[k]!r} * {y}".replace("np.float64", "") + (f" + {old[k]}" if k < n else "") for k in range(1, n + 1)]
             return f"{y} AS y, " + ", ".join(f"{e} AS z{k}" for k, e in enumerate(new))
         first = [f"{v!r} * x".replace("np.float64", "") for v in z]
         return f"""{name} AS (SELECT session_id, i, {advance('x', first)} FROM {source} WHERE i = 0 UNION ALL
-  SELECT s.session_id, s.i, {advance('s.x', ['z0', 'z1', 'z2', 'z3'])} FROM {name} f JOIN {source} s ON s.session_id = f.session_id AND s.i = f.i + 1)"""
+  SELECT s.session_id, s.i, {advance('s.x', [f'z{k}' for k in range(n)])} FROM {name} f JOIN {source} s ON s.session_id = f.session_id AND s.i = f.i + 1)"""
 
     return f"""{EV}, sq AS (SELECT session_id, t, abs(trunc(value)) AS v, row_number() OVER (PARTITION BY session_id ORDER BY t) - 1 AS j, count(*) OVER (PARTITION BY session_id) AS n FROM ev),
-ls AS (SELECT session_id, n, list(v ORDER BY j) AS l FROM sq WHERE n > {EDGE} GROUP BY 1, 2),
-ext AS MATERIALIZED (SELECT session_id, n, i, CASE WHEN i < {EDGE} THEN 2 * l[1] - l[{EDGE} - i + 1] WHEN i < n + {EDGE} THEN l[i - {EDGE} + 1] ELSE 2 * l[n] - l[2 * n - 1 - (i - {EDGE})] END AS x
-  FROM (SELECT *, unnest(range(n + {2 * EDGE})) AS i FROM ls)),
-{one('fw', 'ext')}, rev AS MATERIALIZED (SELECT fw.session_id, n + {2 * EDGE} - 1 - fw.i AS i, y AS x FROM fw JOIN ls USING (session_id)),
-{one('bw', 'rev')}, env AS (SELECT sq.session_id, t, v, y AS envelope FROM bw JOIN sq ON sq.session_id = bw.session_id AND sq.j = n + {EDGE} - 1 - bw.i)"""
+ls AS (SELECT session_id, n, list(v ORDER BY j) AS l FROM sq WHERE n > {edge} GROUP BY 1, 2),
+ext AS MATERIALIZED (SELECT session_id, n, i, CASE WHEN i < {edge} THEN 2 * l[1] - l[{edge} - i + 1] WHEN i < n + {edge} THEN l[i - {edge} + 1] ELSE 2 * l[n] - l[2 * n - 1 - (i - {edge})] END AS x
+  FROM (SELECT *, unnest(range(n + {2 * edge})) AS i FROM ls)),
+{one('fw', 'ext')}, rev AS MATERIALIZED (SELECT fw.session_id, n + {2 * edge} - 1 - fw.i AS i, y AS x FROM fw JOIN ls USING (session_id)),
+{one('bw', 'rev')}, env AS (SELECT sq.session_id, t, v, y AS envelope FROM bw JOIN sq ON sq.session_id = bw.session_id AND sq.j = n + {edge} - 1 - bw.i)"""
 
 
 def logistic_fit(C: float, l2: float, l1: float = 0.0, prior: float = 0.0, balanced: bool = True, everything: bool = False, steps: int = 14) -> str:
@@ -492,6 +493,7 @@ WHERE window_end <= (SELECT max(t) // 1000 * 1000 - 10000000 FROM ev) GROUP BY 1
     q["wald_errors"] = f"WITH RECURSIVE {logistic_fit(1.0, 0.0, balanced=False, everything=True)} SELECT {r('b', 'coef')}, {r('1 / sqrt(curve)', 'se')} FROM fin"
     q["logistic_fold_scores"] = f"WITH RECURSIVE {logistic_fit(1.0, 1.0)}, {fit_scores('>')}"
     q["conditional_fold_scores"] = f"WITH RECURSIVE {conditional_fit()}, {fit_scores('>=')}"
+    q["emg_envelope_3hz"] = f"WITH RECURSIVE {muscle_filter(recurrence.butterworth_low(2, 3.0, 500.0)[0])} SELECT session_id, t, {r('envelope', 'envelope', 4)} FROM env"
     q["emg_envelope"] = f"WITH RECURSIVE {muscle_filter()} SELECT session_id, t, {r('envelope', 'envelope', 4)} FROM env"
     q["emg_candidates"] = f"""WITH RECURSIVE {muscle_filter()},
 md AS (SELECT session_id, median(envelope) AS m FROM env GROUP BY 1), fl AS (SELECT session_id, t, v, envelope > 1.02 * m AS above FROM env JOIN md USING (session_id)),

@@ -706,6 +706,13 @@ def emg_envelope(spark, sf_dir):
     return rounded(intervals.envelope(ev, "emg_raw", 7 * T.DAY).select("session_id", "t", "envelope"), 4)
 
 
+@query
+def emg_envelope_3hz(spark, sf_dir):
+    """The envelope with a lower cut-off and order, in blocks of 20 samples whose states are chained."""
+    ev = T.events(spark, sf_dir).select("session_id", "t", F.col("value").cast("int").alias("emg_raw"))
+    return rounded(intervals.envelope(ev, "emg_raw", 7 * T.DAY, chunk=20, lowpass_hz=3.0, lowpass_order=2).select("session_id", "t", "envelope"), 4)
+
+
 @query
 def emg_candidates(spark, sf_dir):
     ev = T.events(spark, sf_dir).select("session_id", "t", F.col("value").cast("int").alias("emg_raw"))
