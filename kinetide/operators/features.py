@@ -31,6 +31,11 @@ def scale_imu(packets: DataFrame) -> DataFrame:
     return packets.withColumns(scaled)
 
 
+def scale_emg(packets: DataFrame) -> DataFrame:
+    """Raw muscle counts to millivolts."""
+    return packets.withColumn("emg_mv", F.col("emg_raw") * F.lit(EMG_MV_PER_LSB))
+
+
 def negate_axes(samples: DataFrame, axes: Sequence[str] = ("accel_y", "accel_z")) -> DataFrame:
     return samples.withColumns({a: -F.col(a) for a in axes})
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinetide.operators import forests, metrics, models
 from kinetide.operators.matching import nearest_controls
+from kinetide.operators.ordered import row_numbers, time_bucket
 
 # Fixed grids of the evaluations.
 L1_RATIOS = (0.0, 0.5, 1.0)
@@ -89,16 +90,22 @@ def elastic_net(rows: DataFrame, names: Sequence[str], group: str = "day_str", w
     return models.score_linear(rows, fitted, group=group), choice
 
 
+def by_time(rows: DataFrame, width: int, group: str = "day_str", t: str = "end_t") -> DataFrame:
+    """rows with `idx`, their place in the group by time, then window_id: the order in which ties between controls are settled."""
+    return row_numbers(rows.withColumn("__b", time_bucket(t, width)), [group], "__b", [t, "window_id"], "idx").drop("__b")
+
+
 def conditional(rows: DataFrame, names: Sequence[str], width: int, group: str = "day_str", idx: str = "idx", t: str = "t") -> DataFrame:
     """1:1 matched conditional logit: each positive against its nearest same-day negative, fitted on the differences."""
     moments, design = folds(rows, names, group)
     keyed = rows.withColumn("day_str", F.col(group).cast("string"))
     pairs = nearest_controls(keyed.select("day_str", F.col(idx).alias("idx"), F.col(t).alias("t"), "label"), width)
-    values = keyed.select(F.col(idx).alias("__i"), *[F.col(n).cast("double").alias(n) for n in names])
+    values = keyed.select("day_str", F.col(idx).alias("__i"), *[F.col(n).cast("double").alias(n) for n in names])
     case, control = values.alias("case"), values.alias("control")
     diffs = (
-        pairs.join(case, F.col("case_idx") == F.col("case.__i")).join(control, F.col("control_idx") == F.col("control.__i"))
-        .select("day_str", F.lit(1).alias("label"), F.lit(2.0).alias("pair_weight"), *[(F.col(f"case.{n}") - F.col(f"control.{n}")).alias(n) for n in names])
+        pairs.alias("pair").join(case, (F.col("case_idx") == F.col("case.__i")) & (F.col("pair.day_str") == F.col("case.day_str")))
+        .join(control, (F.col("control_idx") == F.col("control.__i")) & (F.col("pair.day_str") == F.col("control.day_str")))
+        .select(F.col("pair.day_str").alias("day_str"), F.lit(1).alias("label"), F.lit(2.0).alias("pair_weight"), *[(F.col(f"case.{n}") - F.col(f"control.{n}")).alias(n) for n in names])
     ).persist()
     per_day = {r.day_str: r["count"] for r in diffs.groupBy("day_str").count().collect()}  # one number per day
     n_pairs = design.weights @ np.array([per_day.get(g, 0) for g in design.groups], float)

@@ -23,7 +23,7 @@ Evaluator = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 def _conditional(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    return validation.conditional(rows.withColumn("idx", F.xxhash64("window_id")), names, MATCH_WIDTH_MS, t="end_t")
+    return validation.conditional(validation.by_time(rows, MATCH_WIDTH_MS), names, MATCH_WIDTH_MS, t="end_t")
 
 
 CLASSIFIERS: dict[str, Evaluator] = {
@@ -70,14 +70,25 @@ def sweep(spark: SparkSession, tables: dict[str, Table], log: str, classifiers:
     """Every feature set with every classifier, then priors, weights and augmentations; rows already logged are skipped."""
     done = _logged(spark, log)
 
-    def record(part: str, feature_set: str, model: str, rows: DataFrame, score: Callable[[], DataFrame], lam: int | None = None) -> None:
+    def record(part: str, feature_set: str, model: str, rows: DataFrame, score: Callable[[], DataFrame | tuple[DataFrame, DataFrame]],
+               lam: int | None = None, **more) -> None:
+        """score gives scored rows, or those and the parameters that each fold chose."""
         if (part, feature_set, model, lam) in done:
             return
-        extra = {} if lam is None else {"lam": lam}
-        storage.append_results(result_row(score(), rows.count(), part=part, feature_set=feature_set, model=model, **extra), log)
+        extra = more if lam is None else {**more, "lam": lam}
+        found = score()
+        scored, choice = found if isinstance(found, tuple) else (found, None)
+        row = result_row(scored, rows.count(), part=part, feature_set=feature_set, model=model, **extra)
+        if choice is not None:
+            chosen = F.array_sort(F.collect_list(F.struct("model_id", F.array("l1_ratio", "C").alias("p"))))
+            row = row.crossJoin(choice.agg(F.transform(chosen, lambda c: c["p"]).alias("chosen_params_per_fold")))  # one row each
+        storage.append_results(row, log)
 
     for name, (rows, columns) in tables.items():
         for kind in classifiers:
+            if kind == "nested_elasticnet":
+                record("models", name, kind, rows, lambda: validation.elastic_net(rows, columns))
+                continue
             record("models", name, kind, rows, lambda: CLASSIFIERS[kind](rows, columns))
     for part, given in (("prior_original", prior), ("prior_flipped", flipped)):
         if given is None:
@@ -89,7 +100,8 @@ def sweep(spark: SparkSession, tables: dict[str, Table], log: str, classifiers:
             for lam in wanted:
                 record(part, "A", "informed_prior", rows, lambda: scored.where(F.col("lam") == lam), lam)
     if dirty is not None:
-        record("weights", "A", "lr_dirty_weighted", dirty[0], lambda: validation.logistic(*dirty, weight="weight"))
+        n_dirty = dirty[0].where((F.col("label") == 1) & (F.col("weight") < 1)).count()
+        record("weights", "A", "lr_dirty_weighted", dirty[0], lambda: validation.logistic(*dirty, weight="weight"), n_dirty_positives=n_dirty)
     if all_negatives is not None:
         record("weights", "A", "lr_all_negatives", all_negatives[0], lambda: validation.logistic(*all_negatives))
     for kind, table in (augmented or {}).items():
@@ -159,10 +171,16 @@ def train_and_select(rows: DataFrame, names: Sequence[str], kinds: Sequence[str]
     return best, table, report
 
 
-def population_prior(rows: DataFrame, names: Sequence[str]) -> tuple[list[str], list[float], models.Fitted]:
-    """L2 fit (C = 1, unweighted) of the pooled participants on features that carry over; names and raw coefficients."""
+def population_prior(rows: DataFrame, names: Sequence[str], path: str | None = None) -> tuple[list[str], list[float], models.Fitted]:
+    """L2 fit (C = 1, unweighted) of the pooled participants on features that carry over; names and raw coefficients.
+
+    path: where the prior is written, as `storage.read_prior` reads it.
+    """
     kept = [n for n in names if n in drop_unreliable(rows.select(*names)).columns]
     fitted = validation.fit_all(rows, kept, C=1.0, balanced=False)
+    if path is not None:
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("day_str").alias("people"), F.avg("label").alias("rate")).first()
+        storage.write_prior(rows.sparkSession, fitted, path, [n for n in names if n not in kept], seen.n, seen.people, seen.rate, 1.0)
     return kept, list((fitted.coef / fitted.scale)[0]), fitted
 
 
@@ -185,7 +203,7 @@ def paired_bootstrap(baseline: Table, candidates: dict[str, Table], scorer: Call
     return out
 
 
-def buffer_sweep(build: Callable[[int], Table], kind: str = "gbt_shallow", n_rep: int = 100) -> tuple[DataFrame, DataFrame]:
+def buffer_sweep(build: Callable[[int], Table], kind: str = "gbt", n_rep: int = 100) -> tuple[DataFrame, DataFrame]:
     """One table per buffer: fold results of a classifier, and paired differences against the first buffer."""
     tables = {b: build(b) for b in BUFFERS_MS}
     results = None
@@ -197,22 +215,37 @@ def buffer_sweep(build: Callable[[int], Table], kind: str = "gbt_shallow", n_rep
     return results, pairs
 
 
-def with_and_without(base: Table, extra: Table, kinds: Sequence[str] = ("gbt_shallow", "lr_l2_baseline"), n_rep: int = N_REPLICATES) -> tuple[DataFrame, DataFrame]:
-    """A table against itself plus further features of the same windows; the populations must be the same."""
+def with_and_without(base: Table, extra: Table, kinds: Sequence[str] = ("gbt", "lr_l2_baseline"), n_rep: int = N_REPLICATES) -> tuple[DataFrame, DataFrame]:
+    """A table against itself plus further features of the same windows; the populations must be the same.
+
+    Results name the features that only the wider table has; pairs compare both tables with each classifier.
+    """
     rows, names = base
     wide = cut_lineage(rows.join(extra[0].select("window_id", *extra[1]), "window_id"))
     if not bootstrap.population_mismatch(rows, wide, names).isEmpty():
         raise ValueError("the two tables do not describe the same windows")
-    results = None
-    for tag, table in (("without", (rows, names)), ("with", (wide, names + list(extra[1])))):
-        for kind in kinds:
+    tables = {"without": (rows, names), "with": (wide, [*names, *extra[1]])}
+    results, pairs = None, None
+    for kind in kinds:
+        for tag, table in tables.items():
             row = result_row(CLASSIFIERS[kind](*table), rows.count(), part="extra", feature_set=tag, model=kind)
+            row = row.withColumn("added", F.array(*[F.lit(n) for n in added_features(names, table[1])]).cast("array<string>"))
             results = row if results is None else results.unionByName(row)
-    return results, paired_bootstrap(base, {"with": (wide, names + list(extra[1]))}, n_rep=n_rep)
+        pair = paired_bootstrap(base, {"with": tables["with"]}, BOOTSTRAP_FORMS[kind], n_rep).withColumn("model", F.lit(kind))
+        pairs = pair if pairs is None else pairs.unionByName(pair)
+    return results, pairs
+
+
+def added_features(before: Sequence[str], after: Sequence[str]) -> list[str]:
+    """Names that only the second table has, in its order."""
+    return [n for n in after if n not in set(before)]
 
 
 def heart_comparison(configs: dict[str, DataFrame], ids: Sequence[str], n_full: int, n_rep: int = N_REPLICATES) -> tuple[DataFrame, DataFrame | None]:
-    """The four cardiac configurations on one population; the bootstrap only runs if enough of it is left."""
+    """The four cardiac configurations on one population; the bootstrap only runs if enough of it is left.
+
+    Its rows hold each configuration's own interval, and the paired difference against A_only of the others.
+    """
     tables = {k: (cut_lineage(df), [c for c in df.columns if c not in ids]) for k, df in configs.items()}
     n = tables["A_only"][0].count()
     results = None
@@ -221,22 +254,39 @@ def heart_comparison(configs: dict[str, DataFrame], ids: Sequence[str], n_full:
         results = row if results is None else results.unionByName(row)
     if not bootstrap.large_enough(n, n_full):
         return results, None
-    return results, paired_bootstrap(tables["A_only"], {k: t for k, t in tables.items() if k != "A_only"}, n_rep=n_rep)
+    pairs = paired_bootstrap(tables["A_only"], {k: t for k, t in tables.items() if k != "A_only"}, n_rep=n_rep)
+    draws, own = cut_lineage(bootstrap.day_draws(tables["A_only"][0], n_rep)), None
+    for tag, (rows, names) in tables.items():
+        row = bootstrap.interval(bootstrap.replicates(rows, names, draws, bootstrap.logistic_scorer(names))).withColumn("candidate", F.lit(tag))
+        row = row.withColumnsRenamed({"mean": "own_mean", "ci_low": "own_low", "ci_high": "own_high"})
+        own = row if own is None else own.unionByName(row)
+    return results, own.join(pairs, "candidate", "left")  # a row for each configuration
 
 
 def stacked(build: Callable[[str, int, bool], Table], sets: Sequence[str] = ("B", "D"), buffers: Sequence[int] = BUFFERS_MS,
             kinds: Sequence[str] = ("rf_shallow", "lr_l2_baseline"), n_rep: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Feature set x buffer x variability features x classifier, and the paired effect of the variability features."""
+    """Feature set x buffer x variability features x classifier; with each classifier the paired effect of the variability
+    features, and that of the shortest buffer against the first."""
     results, pairs = None, None
+
+    def pair(plain: Table, other: Table, tag: str, matched: bool) -> None:
+        nonlocal pairs
+        for kind in kinds:
+            diff = paired_bootstrap(plain, {tag: other}, BOOTSTRAP_FORMS[kind], n_rep, matched=matched).withColumn("model", F.lit(kind))
+            pairs = diff if pairs is None else pairs.unionByName(diff)
+
     for name in sets:
+        of: dict[int, Table] = {}
         for buffer in buffers:
             plain, heart = build(name, buffer, False), build(name, buffer, True)
             for tag, (rows, names) in (("plain", plain), ("hrv", heart)):
                 for kind in kinds:
                     row = result_row(CLASSIFIERS[kind](rows, names), rows.count(), part="stacked", feature_set=f"{name}@{buffer}+{tag}", model=kind)
                     results = row if results is None else results.unionByName(row)
-            diff = paired_bootstrap(plain, {f"{name}@{buffer}+hrv": heart}, n_rep=n_rep)
-            pairs = diff if pairs is None else pairs.unionByName(diff)
+            pair(plain, heart, f"{name}@{buffer}+hrv", True)
+            of[buffer] = plain
+        if len(of) > 1:
+            pair(of[buffers[0]], of[buffers[-1]], f"{name}@{buffers[-1]}", False)
     return results, pairs
 
 

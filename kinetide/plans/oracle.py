@@ -206,7 +206,7 @@ fin AS (SELECT * FROM it WHERE k = {steps})"""
 def conditional_fit(steps: int = 14) -> str:
     return f"""{feature_table()}, fo AS (SELECT day_str AS f FROM ft GROUP BY 1 HAVING min(label) < max(label)),
 st AS (SELECT f, avg(x_mean) AS mu, stddev_pop(x_mean) AS sd FROM ft JOIN fo ON day_str <> f GROUP BY 1),
-pr AS (SELECT a.day_str, a.x_mean - b.x_mean AS d, row_number() OVER (PARTITION BY a.window_id ORDER BY abs(a.end_t - b.end_t)) AS rn
+pr AS (SELECT a.day_str, a.x_mean - b.x_mean AS d, row_number() OVER (PARTITION BY a.window_id ORDER BY abs(a.end_t - b.end_t), b.end_t, b.window_id) AS rn
   FROM ft a JOIN ft b ON a.day_str = b.day_str AND a.label = 1 AND b.label = 0),
 tr AS MATERIALIZED (SELECT f, d / sd AS d FROM pr JOIN st ON day_str <> f WHERE rn = 1),
 it AS (SELECT f, 0 AS k, CAST(0 AS DOUBLE) AS b FROM st UNION ALL

@@ -553,7 +553,7 @@ def elastic_net_cv(spark, sf_dir):
 
 @query
 def conditional_logit_cv(spark, sf_dir):
-    rows = checkpointed(labelled_features(spark, sf_dir).withColumn("idx", F.xxhash64("window_id")))
+    rows = checkpointed(validation.by_time(labelled_features(spark, sf_dir), T.HOUR))
     return rounded(metrics.fold_scores(validation.conditional(rows, STAT_NAMES, T.HOUR, t="end_t"), ["model_id"]))
 
 
@@ -618,7 +618,7 @@ def logistic_fold_scores(spark, sf_dir):
 
 @query
 def conditional_fold_scores(spark, sf_dir):
-    rows = _one_feature(spark, sf_dir).withColumn("idx", F.xxhash64("window_id"))
+    rows = validation.by_time(_one_feature(spark, sf_dir), T.HOUR)
     scored = validation.conditional(rows, ["x_mean"], T.HOUR, t="end_t").persist()
     mean = scored.groupBy("model_id").agg(F.avg("score").alias("mean_score"))
     return rounded(metrics.fold_scores(scored, ["model_id"]).join(mean, "model_id"))

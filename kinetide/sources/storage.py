@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -102,3 +103,13 @@ def read_prior(spark: SparkSession, path: str) -> tuple[list[str], list[float]]:
     row = spark.read.schema(schema).option("multiLine", "true").json(path).first()
     raw = [c / s for c, s in zip(row.coefficients_population_std_units, row.population_scaler_scale)]
     return list(row.feature_names), raw
+
+
+def write_prior(spark: SparkSession, fitted: Fitted, path: str, excluded: Sequence[str], n_samples: int, n_participants: int, positive_rate: float, strength: float) -> None:
+    """A population prior as JSON: coefficients in units of the population's deviations, its scaler, and what it was fitted on."""
+    row = {
+        "feature_names": list(fitted.names), "excluded_features": list(excluded), "coefficients_population_std_units": fitted.coef[0].tolist(),
+        "intercept_population_std_units": float(fitted.intercept[0]), "population_scaler_mean": fitted.mean[0].tolist(), "population_scaler_scale": fitted.scale[0].tolist(),
+        "n_samples": n_samples, "n_participants": n_participants, "positive_rate": float(positive_rate), "sklearn_C": float(strength),
+    }
+    spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.mode("overwrite").text(path)

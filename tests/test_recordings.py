@@ -102,7 +102,9 @@ def test_heart_tables(rec):
     plain, heart = cardiac.variability_pair(table, names, ids)
     assert bootstrap.population_mismatch(plain, heart, names).isEmpty()
     results, pairs = experiments.heart_comparison(configs, ids, int(1.1 * len(rows)), n_rep=4)
-    assert results.count() == 4 and pairs.count() == 3
+    found = {r.candidate: r for r in pairs.collect()}
+    assert results.count() == 4 and set(found) == set(configs)
+    assert all(r.own_low <= r.own_mean <= r.own_high for r in found.values()) and [k for k, r in found.items() if r.mean_diff is None] == ["A_only"]
     assert experiments.heart_comparison({"A_only": configs["A_only"]}, ids, 10 * len(rows), n_rep=4)[1] is None
 
 
@@ -130,7 +132,8 @@ def test_extra_features_and_buffers(rec, table_a):
     table, names = table_a
     thermal, t_names = dataset.thermal_table(rec)
     results, pairs = experiments.with_and_without((table, names[:6]), (thermal, t_names), kinds=["lr_l2_baseline"], n_rep=4)
-    assert results.count() == 2 and pairs.first().candidate == "with"
+    assert results.count() == 2 and pairs.first().candidate == "with" and pairs.first().model == "lr_l2_baseline"
+    assert {r.feature_set: r.added for r in results.collect()} == {"without": [], "with": t_names}
     results, pairs = experiments.buffer_sweep(lambda b: (dataset.imu_table(rec, buffer_ms=b)[0], names[:4]), "lr_l2_baseline", n_rep=4)
     assert {r.feature_set for r in results.collect()} == {"7000", "5000", "3000"} and pairs.count() == 2
     best, scores, held = experiments.train_and_select(table, names[:4], ["lr_l2_baseline"])
@@ -192,6 +195,9 @@ def test_public_recordings(spark, tmp_path):
     assert len(both) == 12 and all(r.a == -r.accel_y_mean and r.g == r.gyro_y_mean for r in both)
     kept, raw, _ = experiments.population_prior(table, names)
     assert len(kept) == 36 and len(raw) == 36
+    experiments.population_prior(table, names, str(tmp_path / "prior"))
+    again, coefficients = storage.read_prior(spark, str(tmp_path / "prior"))
+    assert again == kept and coefficients == pytest.approx(raw)
 
 
 def test_prior_evaluation_and_flip(spark, table_a, tmp_path):
