@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinetide.llm.common import Words, small_batches, staged, training_share
+from kinetide.llm.common import ROWS_PER_BATCH, Words, small_batches, staged, training_share
 
 OWN, SHARED = 191, 64  # classes of single words, and shared ones
 CLASSES = OWN + 1 + SHARED  # the end of a text is one more
@@ -23,6 +23,8 @@ CONTEXT = 2  # words that the model sees
 SIZE = 16  # numbers in a class's vector
 FREQUENT = 1 << 18  # most words whose counts every task holds (4 MB); the counts of all others are joined
 ROUNDS = 2  # parts of the training texts, each learned from by all tasks before their parameters are averaged
+SHARD = 6_000  # training texts of a shard, about; its rounds share them
+LEAST_SHARDS = 8
 NOISE = 32  # noise samples of a minibatch
 BATCH = 8192
 SMOOTH = 0.1
@@ -133,16 +135,44 @@ class LogBilinear:
 
 
 def _learn(shared, start: np.ndarray, noise: np.ndarray):
-    """(i, value, weight): this task's parameters after its texts, weighted by its tokens."""
+    """(i, value, weight): the parameters after the texts of each shard, weighted by its tokens.
+
+    Rows come sorted by shard. A shard is learned in groups of ROWS_PER_BATCH texts from its first one on, with random numbers of
+    its own, so nothing depends on which shards a task holds or how rows reach it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, sums, rng, seen = shared.value, LogBilinear(start), np.full(len(start), 1e-4), np.random.default_rng(1), 0
-        for batch in batches:
-            found = Words(batch.column("text"), lower=True)
+        words = shared.value
+        shard, held, model, sums, rng, seen = None, [], None, None, None, 0
+
+        def learn(texts: pa.Array) -> int:
+            found = Words(texts, lower=True)
             tokens, before = contexts(words.look_up(found.hashes)[0], found.borders)
             model.train(tokens, before, noise, sums, rng)
-            seen += len(tokens)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start))), pa.array(model.flat * seen), pa.array(np.full(len(start), float(seen)))], ["i", "value", "weight"])
+            return len(tokens)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            n = seen + (learn(pa.concat_arrays(held)) if held else 0)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start))), pa.array(model.flat * n), pa.array(np.full(len(start), float(n)))], ["i", "value", "weight"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shards, texts = batch.column("shard").to_numpy(), batch.column("text").cast(pa.large_string())
+            for lo, hi in zip(borders := np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]), [*borders[1:], len(shards)]):
+                if shard != shards[lo]:
+                    if shard is not None:
+                        yield from finish()
+                    shard, held, model, sums, rng, seen = int(shards[lo]), [], LogBilinear(start), np.full(len(start), 1e-4), np.random.default_rng(int(shards[lo])), 0
+                while lo < hi:
+                    take = min(hi - lo, ROWS_PER_BATCH - sum(map(len, held)))
+                    held.append(texts[lo:lo + take])
+                    lo += take
+                    if sum(map(len, held)) == ROWS_PER_BATCH:
+                        seen += learn(pa.concat_arrays(held))
+                        held = []
+        if shard is not None:
+            yield from finish()
     return run
 
 
@@ -197,7 +227,8 @@ def score_texts(docs: DataFrame, held_out: int = 10) -> DataFrame:
     counts as an empty text in the hash and stays null. Words are compared by 64-bit hashes. base_score and score are
     log10. Counts are over all training texts; those of the FREQUENT most frequent words go to every task, all others are
     joined by word. Without training texts all words are unknown and the model keeps its first parameters. Repeated rows
-    are learned from and scored each; other columns are not read; an empty table gives an empty one.
+    are learned from and scored each; other columns are not read; an empty table gives an empty one. Training texts are dealt to
+    shards by a hash of their id, so scores do not depend on how the table is partitioned.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -221,8 +252,11 @@ def score_texts(docs: DataFrame, held_out: int = 10) -> DataFrame:
     noise = (noise + 1) / (noise + 1).sum()
     everywhere, flat = spark.sparkContext.broadcast(words), LogBilinear().flat
     flat[-CLASSES:] = np.log(noise)
+    shards = max(LEAST_SHARDS, texts // SHARD)  # learned side by side, as many whatever the partitions
     for part in range(ROUNDS):
-        some = taught.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == part).select("text")
+        some = taught.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == part)
+        named = some.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "doc_id", F.xxhash64("text").alias("t"), "text")
+        some = named.repartition("shard").sortWithinPartitions("shard", "doc_id", "t").select("shard", "text")
         means = some.mapInArrow(_learn(everywhere, flat, noise), "i long, value double, weight double").groupBy("i").agg((F.sum("value") / F.sum("weight")).alias("v")).toPandas()
         if len(means):
             flat = means.sort_values("i")["v"].to_numpy()

@@ -237,3 +237,10 @@ def test_chunk_digests_grow_along():
 
 def test_odd_table_is_what_it_says(odd):
     assert odd.count() == len(ODD) + 1 and list(itertools.islice(odd.columns, 2)) == ["doc_id", "text"]
+
+
+def test_scores_do_not_depend_on_partitions(small):
+    docs = small.where("length(text) < 20000")
+    first = {r.doc_id: r.score for r in lm.score_texts(docs.coalesce(1)).collect()}
+    for parts in (7, 50):
+        assert {r.doc_id: r.score for r in lm.score_texts(docs.repartition(parts)).collect()} == pytest.approx(first, abs=1e-6)
