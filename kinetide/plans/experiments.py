@@ -80,8 +80,8 @@ def sweep(spark: SparkSession, tables: dict[str, Table], log: str, classifiers:
         scored, choice = found if isinstance(found, tuple) else (found, None)
         row = result_row(scored, rows.count(), part=part, feature_set=feature_set, model=model, **extra)
         if choice is not None:
-            chosen = F.array_sort(F.collect_list(F.struct("model_id", F.array("l1_ratio", "C").alias("p"))))
-            row = row.crossJoin(choice.agg(F.transform(chosen, lambda c: c["p"]).alias("chosen_params_per_fold")))  # one row each
+            chosen = [F.array(F.lit(r.l1_ratio), F.lit(r.C)) for r in choice.orderBy("model_id").collect()]  # one row per fold
+            row = row.withColumn("chosen_params_per_fold", F.array(*chosen))
         storage.append_results(row, log)
 
     for name, (rows, columns) in tables.items():
