@@ -154,12 +154,20 @@ def word_hash(word: str) -> int:
 
 
 class TokenPool:
-    """Token ids of short strings; ids already found are kept for up to `most` strings. Results never depend on what is kept."""
+    """Token ids of short strings; ids already found are kept for up to `most` strings. Results never depend on what is kept.
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000):
-        self.encode, self.most = encode, most
+    encode_all: ids of many strings in order and the number of each, where that is faster than one call a string.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None):
+        self.encode, self.most, self.encode_all = encode, most, encode_all or self._one_by_one
         self.clear()
 
+    def _one_by_one(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.encode(p) for p in new]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
@@ -180,10 +188,8 @@ class TokenPool:
         unknown = np.flatnonzero(slots < 0).tolist()
         new = list(dict.fromkeys(pieces[i] for i in unknown))
         if new:
-            found = [self.encode(p) for p in new]
             at = len(self.slots)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+            flat, sizes = self.encode_all(new)
             for name, need in (("starts", at + len(new)), ("sizes", at + len(new)), ("ids", self.used + len(flat))):
                 self._room(name, need)
             self.starts[at:at + len(new)] = self.used + np.cumsum(sizes) - sizes
@@ -198,11 +204,32 @@ class TokenPool:
 
 
 @lru_cache(4)
-def byte_level_encoder(path: str) -> Callable[[str], list[int]]:
-    """Encoder of a byte-level rank file."""
+def _byte_level(path: str):
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    spaced = np.zeros(max(ranks.values()) + 1, bool)
+    spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), spaced
+
+
+def byte_level_encoder(path: str) -> Callable[[str], list[int]]:
+    """Encoder of a byte-level rank file."""
+    return _byte_level(path)[0].encode_ordinary
+
+
+def byte_level_words(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encoder of many words at once, each after one space: ids of all in order, and the number of ids of each word.
+
+    Words hold no white space, so a token that begins with a space begins a word and no token crosses a border.
+    """
+    encoding, spaced = _byte_level(path)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        ids = encoding.encode_to_numpy(" " + " ".join(words), disallowed_special=()).astype(np.int32)
+        return ids, np.diff(np.append(np.flatnonzero(spaced[ids]), len(ids)))
+    return encode

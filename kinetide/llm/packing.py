@@ -4,13 +4,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinetide.llm.common import TokenPool, byte_level_encoder, small_batches, staged
+from kinetide.llm.common import TokenPool, byte_level_encoder, byte_level_words, small_batches, staged
 
 LENGTH = 2048  # tokens of a sequence
 END = 0  # id after each document
@@ -19,7 +20,6 @@ SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's special token
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21))]
-_PAIRS = [*(f" {c}" for c in _SPACES), *(f"{c} " for c in _SPACES[:-1])]
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 FIRST = "\ud800"  # marks a text's first fragment, which has no space before it; no text holds this code point
 
@@ -27,7 +27,8 @@ FIRST = "\ud800"  # marks a text's first fragment, which has no space before it;
 def fragments(text: str) -> list[str]:
     """Cut text at single spaces between other characters. No token crosses such a place, as the vocabulary's pattern begins
     anew at the space; the space is left out of the fragments."""
-    loose = text[0] in _SPACES or text[-1] in _SPACES or any(p in text for p in _PAIRS) or not text.isascii() and _WIDE_SPACE.search(text)
+    loose = text[0] in _SPACES or text[-1] in _SPACES or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES[:-1])
+    loose = loose or not text.isascii() and _WIDE_SPACE.search(text)
     parts = _CUT.split(text) if loose else text.split(" ")
     parts[0] = FIRST + parts[0]
     return parts
@@ -46,7 +47,19 @@ class DocumentTokens:
             part = part[1:] if part[0] == FIRST else f" {part}"
             return whole.encode(part, add_special_tokens=False).ids if SPECIAL in part else fast(part)
 
-        self.pool = TokenPool(encode, most=600_000)
+        words = byte_level_words(ranks)
+
+        def encode_all(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Fragments without white space go through one call; first, special and other ones through a call each."""
+            alone = np.fromiter((part[0] == FIRST or SPECIAL in part or part.split() != [part] for part in parts), bool, len(parts))
+            ids, found = words([part for part, odd in zip(parts, alone) if not odd]), [encode(part) for part, odd in zip(parts, alone) if odd]
+            sizes = np.zeros(len(parts), np.int64)
+            sizes[~alone], sizes[alone] = ids[1], list(map(len, found))
+            odd, flat = np.repeat(alone, sizes), np.zeros(int(sizes.sum()), np.int32)
+            flat[~odd], flat[odd] = ids[0], list(chain.from_iterable(found))
+            return flat, sizes
+
+        self.pool = TokenPool(encode, most=600_000, encode_all=encode_all)
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         parts = [fragments(t) if t else [] for t in texts]
