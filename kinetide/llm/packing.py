@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -108,56 +108,105 @@ def best_fit(lengths: np.ndarray, most: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(donor: list[int], other: list[int], free: int, lengths: np.ndarray) -> tuple[list[int], list[int]] | None:
-    """What to give and to take back so that other gains most, at most free: a move, one for one, two for one or one for two."""
-    best, gain = None, 0
-    give = [((i,), int(lengths[i])) for i in donor] + [((i, j), int(lengths[i] + lengths[j])) for x, i in enumerate(donor) for j in donor[x + 1:]]
-    take = [((), 0)] + [((i,), int(lengths[i])) for i in other]
-    pairs = [((i, j), int(lengths[i] + lengths[j])) for x, i in enumerate(other) for j in other[x + 1:]]
-    for a, s in give:
-        for b, t in take + (pairs if len(a) == 1 else []):
-            if len(a) == 2 and not b:
-                continue
-            if gain < s - t <= free:
-                best, gain = (list(a), list(b)), s - t
-                if gain == free:
-                    return best
-    return best
-
-
-NEIGHBOURS = 200  # underfull bins that one bin trades with before the next bin's turn
-TRADED = 40  # documents of a bin up to which it takes part in exchanges; fuller ones take moves through best fit only
+def _singles(members: list[int], lengths: np.ndarray) -> dict[int, tuple[int, ...]]:
+    """One document of each size in a bin; at most 63 sizes of a bin of 2048 tokens differ."""
+    return {int(lengths[i]): (i,) for i in reversed(members)}
+
+
+def _pairs(members: list[int], lengths: np.ndarray) -> dict[int, tuple[int, ...]]:
+    """Two documents of each size that two of a bin have together."""
+    by_size: dict[int, list[int]] = {}
+    for i in members:
+        by_size.setdefault(int(lengths[i]), []).append(i)
+    two = {2 * s: (at[0], at[1]) for s, at in by_size.items() if len(at) > 1}
+    return {s + t: (x[0], y[0]) for (s, x), (t, y) in combinations(by_size.items(), 2)} | two
+
+
+class _Bins:
+    """Bins, and what the underfull ones could give back: for each size the rooms of the bins that hold it, as bits, kept up to date."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, most: int):
+        self.lengths, self.most = lengths, most
+        self.members: dict[int, list[int]] = {}
+        self.fill: dict[int, int] = {}
+        self.parts: dict[int, tuple[dict, dict, dict]] = {}  # of underfull bins: nothing, one document, two documents by size
+        self.rooms: tuple[dict[int, int], ...] = {}, {}, {}
+        self.holders: tuple[dict[tuple[int, int], set[int]], ...] = {}, {}, {}
+        for b, members in enumerate(bins):
+            self.put(b, members)
+
+    def put(self, b: int, members: list[int]) -> None:
+        self.take_out(b)
+        self.members[b], self.fill[b] = members, int(self.lengths[members].sum())
+        if not members or self.fill[b] >= self.most:
+            return
+        self.parts[b] = {0: ()}, _singles(members, self.lengths), _pairs(members, self.lengths)
+        room = self.most - self.fill[b]
+        for found, rooms, holders in zip(self.parts[b], self.rooms, self.holders):
+            for size in found:
+                rooms[size] = rooms.get(size, 0) | 1 << room
+                holders.setdefault((size, room), set()).add(b)
+
+    def take_out(self, b: int) -> None:
+        for found, rooms, holders in zip(self.parts.pop(b, ()), self.rooms, self.holders):
+            room = self.most - self.fill[b]
+            for size in found:
+                at = holders[size, room]
+                at.discard(b)
+                if not at:
+                    del holders[size, room]
+                    rooms[size] &= ~(1 << room)
+                    if not rooms[size]:
+                        del rooms[size]
+
+    def partner(self, give: dict[int, tuple[int, ...]], taken: int, fill: int) -> tuple[tuple[int, ...], tuple[int, ...], int] | None:
+        """What to give, what to take back (`taken` documents) and from which bin, for the largest gain of a bin as full as fill or fuller."""
+        rooms, allowed = self.rooms[taken], (1 << (self.most - fill + 1)) - 1
+        back = np.fromiter(rooms, np.int64, len(rooms))
+        widest = np.fromiter(((bits & allowed).bit_length() - 1 for bits in rooms.values()), np.int64, len(rooms))
+        gain = np.fromiter(give, np.int64, len(give))[:, None] - back
+        gain[(gain > widest) | (gain <= 0)] = 0
+        if not gain.size or not gain.max():
+            return None
+        x, y = np.unravel_index(gain.argmax(), gain.shape)
+        size, best = int(back[y]), int(gain[x, y])
+        fitting = (rooms[size] & allowed) >> best
+        least = best + (fitting & -fitting).bit_length() - 1  # the least room that takes the gain
+        o = min(self.holders[taken][size, least])
+        return list(give.values())[x], self.parts[o][taken][size], o
+
+    def exchange(self, d: int) -> bool:
+        """One move, else exchange one for one, two for one or one for two, from d to a bin as full or fuller."""
+        members, fill, (_, one, two) = self.members[d], self.fill[d], self.parts[d]
+        self.take_out(d)
+        for give, taken in ((one, 0), (one, 1), (two, 1), (one, 2)):
+            if best := self.partner(give, taken, fill):
+                give, take, o = best
+                self.put(o, [i for i in self.members[o] if i not in take] + list(give))
+                self.put(d, [i for i in members if i not in give] + list(take))
+                return True
+        self.put(d, members)
+        return False
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[list[int]]:
     """Move documents from the emptiest bins into fuller ones, raising the sum of squared fills, until bins are empty.
 
-    An exchange only ever moves words from a bin to one that is as full or fuller, so the sum of squares rises each time and
-    the search ends. It stops when the number of bins is the least possible.
+    Every exchange is looked for over all underfull bins and moves words from a bin to one that is as full or fuller, so the
+    sum of squares rises each time and the search ends: at the least possible number of bins, or where no exchange is left.
     """
-    fill = [int(lengths[b].sum()) for b in bins]
-    least = -(-sum(fill) // most)
-    live = sum(map(bool, bins))
-    while live > least:
-        order = sorted((i for i in range(len(bins)) if bins[i] and fill[i] < most), key=lambda i: (fill[i], i))
-        emptied = False
-        for d in order:
-            others = [o for o in reversed(order) if o != d and fill[o] >= fill[d] and fill[o] < most and len(bins[o]) <= TRADED][:NEIGHBOURS]
-            for o in others:
-                while bins[d] and len(bins[d]) <= TRADED and fill[o] < most and fill[o] >= fill[d] and (found := _exchange(bins[d], bins[o], most - fill[o], lengths)):
-                    give, take = found
-                    change = int(lengths[give].sum() - lengths[take].sum() if take else lengths[give].sum())
-                    bins[d] = [i for i in bins[d] if i not in give] + take
-                    bins[o] = [i for i in bins[o] if i not in take] + give
-                    fill[d], fill[o] = fill[d] - change, fill[o] + change
-                if not bins[d]:
-                    break
-            if not bins[d]:
-                emptied, live = True, live - 1
-                break
-        if not emptied:
-            break
-    return [b for b in bins if b]
+    least, live = -(-int(lengths.sum()) // most), sum(map(bool, bins))
+    if live <= least:
+        return [b for b in bins if b]
+    state = _Bins(bins, lengths, most)
+    moved = True
+    while moved and live > least:
+        moved = False
+        for d in sorted(state.parts, key=lambda b: (state.fill[b], b)):
+            while live > least and d in state.parts and state.exchange(d):
+                moved = True
+                live -= not state.members[d]
+    return [b for b in state.members.values() if b]
 
 
 def pack(lengths: np.ndarray, most: int = LENGTH) -> list[list[int]]:

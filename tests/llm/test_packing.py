@@ -34,9 +34,31 @@ def test_search_empties_a_bin():
 
 
 def test_two_for_one():
-    lengths = np.array([3, 3, 5, 4])
-    give, take = p._exchange([0, 1], [2, 3], 1, lengths)
-    assert sorted(give) == [0, 1] and take == [2]
+    bins = p._Bins([[0, 1], [2, 3]], np.array([3, 3, 5, 4]), 10)
+    assert bins.exchange(0) and bins.fill == {0: 5, 1: 10} and sorted(bins.members[1]) == [0, 1, 3]
+
+
+def test_one_for_two():
+    bins = p._Bins([[0], [1, 2, 3]], np.array([5, 2, 2, 5]), 10)
+    assert bins.exchange(0) and bins.fill == {0: 4, 1: 10} and sorted(bins.members[0]) == [1, 2]
+
+
+def test_the_search_saves_bins_over_best_fit():
+    lengths = np.random.default_rng(1).integers(600, 1000, 300)
+    assert len(p.pack(lengths)) < len(p.best_fit(lengths, 2048))
+
+
+def test_nothing_to_exchange_is_left():
+    lengths = np.random.default_rng(1).integers(600, 1000, 120)
+    bins = p.pack(lengths)
+    fill = [int(lengths[b].sum()) for b in bins]
+    for d, o in ((d, o) for d in range(len(bins)) for o in range(len(bins)) if d != o and fill[d] <= fill[o] < 2048):
+        ones = lengths[bins[d]]
+        twos = [ones[i] + ones[j] for i in range(len(ones)) for j in range(i)]
+        back = lengths[bins[o]]
+        two_back = [back[i] + back[j] for i in range(len(back)) for j in range(i)]
+        gains = [s - t for s in ones for t in [0, *back, *two_back]] + [s - t for s in twos for t in back]
+        assert not any(0 < g <= 2048 - fill[o] for g in gains)
 
 
 def test_pieces_and_places(odd, none, small):
