@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinetide.llm.common import WORD, staged
+from kinetide.llm.common import WORD, staged, unused
 
 WEIGHTS = (5, 2, 1)  # of the sources in order, again and again
 SHARE = (3, 2)  # the mix takes 3/2 of all words
@@ -44,7 +44,9 @@ def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[in
 
 
 def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, threshold): most documents with a hash below the threshold that fit the source's budget.
+    """(source, threshold): documents with a hash below the threshold come as near to the source's budget as any threshold does.
+
+    The document at the border is taken if that leaves less above the budget than is short without it.
 
     A histogram of words by source and the first bits finds the bucket where the budget ends; only documents of that bucket
     are looked at again, by the next bits, so each level reads a 4096th of the level before.
@@ -59,9 +61,10 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         run = F.sum("size").over(Window.partitionBy("source").orderBy("prefix"))
         over = sums.withColumn("run", run).where("run > left")
         first = over.groupBy("source").agg(F.min(F.struct("prefix", "left", "run", "size")).alias("x"))
-        edge = staged(first.select("source", (F.col("x.left") - (F.col("x.run") - F.col("x.size"))).alias("left"), "x.prefix"), "edge")
+        below, above = F.col("x.left") - (F.col("x.run") - F.col("x.size")), F.col("x.run") - F.col("x.left")
+        edge = staged(first.select("source", below.alias("left"), "x.prefix", (above < below).cast("long").alias("border")), "edge")
         rows = inside.select("source", "size", "lot")
-    return edge.select("source", F.col("prefix").alias("threshold"))
+    return edge.select("source", (F.col("prefix") + F.col("border")).alias("threshold"))
 
 
 def _plan(docs: DataFrame, weights: tuple[int, ...], share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -91,6 +94,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE) -> DataFrame:
     """The rows of docs, as many copies of each as mix_sources takes; columns stay as they are."""
     _, goal = _plan(docs, weights, share)
+    copy = unused("copy", docs)
     times = (F.col("g.times") + (lot(F.col("d.doc_id").cast("long")) < F.col("g.threshold")).cast("long")).cast("int")
     joined = docs.alias("d").join(goal.alias("g"), F.expr("d.source <=> g.source")).where(times > 0)
-    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).drop("__copy")
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)

@@ -22,10 +22,12 @@ t as (
   from f),
 b as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end times from t),
 r as (
-  select d.doc_id, d.size, b.source_size, b.target, b.times,
-    cast(sum(d.size) over (partition by d.source order by d.lot range between unbounded preceding and current row) as double) <= b.target - b.times * b.source_size as extra
-  from d join b on d.source is not distinct from b.source)
-select doc_id, size, source_size, target, cast(size * (times + case when extra then 1 else 0 end) as bigint) taken from r
+  select d.doc_id, d.size, b.source_size, b.target, b.times, b.target - b.times * b.source_size budget,
+    cast(sum(d.size) over (partition by d.source order by d.lot range between unbounded preceding and current row) as double) run,
+    cast(sum(d.size) over (partition by d.source, d.lot) as double) here
+  from d join b on d.source is not distinct from b.source),
+x as (select *, run <= budget or (run - here <= budget and run - budget < budget - (run - here)) extra from r)
+select doc_id, size, source_size, target, cast(size * (times + case when extra then 1 else 0 end) as bigint) taken from x
 """
 
 _TOP = """
