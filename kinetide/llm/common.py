@@ -56,6 +56,14 @@ def discard(*tables: DataFrame) -> None:
     context._jvm.System.gc()
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df lacks, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts in a small executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from kinetide.llm.common import SPACES, TokenPool, Words, byte_level_encoder, mix, small_batches, staged
+from kinetide.llm.common import SPACES, TokenPool, Words, byte_level_encoder, mix, small_batches, staged, unused
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -160,7 +160,7 @@ def _measure(byte_level: str, fallback: str):
     return run
 
 
-def _measured_rows(byte_level: str, fallback: str):
+def _measured_rows(byte_level: str, fallback: str, added: list[str]):
     """Whole rows with the script, characters a token, letters and words of the text, and the verdict by the fixed bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(byte_level, fallback)
@@ -168,16 +168,13 @@ def _measured_rows(byte_level: str, fallback: str):
         for batch in batches:
             rows = [(r[5], r[6], r[1], r[0], r[-1]) for r in _judged(batch, fertility)]
             columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], [*batch.schema.names, *ADDED])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], [*batch.schema.names, *added])
     return run
 
 
-ADDED = ("__script", "__per_token", "__chars", "__words", "__kept")
-
-
 def _far(x: Column, name: str, tokens: Column) -> Column:
     """Deviations from the group's median."""
-    return (x - F.col(f"mid_{name}")) / (F.col(f"dev_{name}") * F.sqrt(1 + F.lit(SHORT) / tokens))
+    return (x - F.col(f"b.mid_{name}")) / (F.col(f"b.dev_{name}") * F.sqrt(1 + F.lit(SHORT) / tokens))
 
 
 def _in_own_band(rows: DataFrame, script: str, per_token: str, chars: str, words: str, kept: str, lang: str) -> DataFrame:
@@ -225,10 +222,11 @@ def quality(docs: DataFrame, byte_level: str | None = None, fallback: str | None
 def good_documents(docs: DataFrame, byte_level: str | None = None, fallback: str | None = None) -> DataFrame:
     """The rows of docs (text and any other columns) whose text quality() keeps; rows are written once with their figures."""
     small_batches(docs.sparkSession)
-    rows = docs.withColumn("__lang", _language(docs))
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k()) for n, k in zip(ADDED, (T.StringType, T.DoubleType, T.LongType, T.LongType, T.BooleanType)))])
-    rows = staged(rows.mapInArrow(_measured_rows(*_paths(byte_level, fallback)), schema).where("__kept"), "fertility")
-    return _in_own_band(rows, *ADDED, "__lang").where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    added, lang = [unused(n, docs) for n in ("script", "per_token", "chars", "words", "kept")], unused("language", docs)
+    rows = docs.withColumn(lang, _language(docs))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k()) for n, k in zip(added, (T.StringType, T.DoubleType, T.LongType, T.LongType, T.BooleanType)))])
+    rows = staged(rows.mapInArrow(_measured_rows(*_paths(byte_level, fallback), added), schema).where(F.col(added[-1])), "fertility")
+    return _in_own_band(rows, *added, lang).where(F.col(added[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _paths(byte_level: str | None, fallback: str | None) -> tuple[str, str]:
