@@ -6,28 +6,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kinetide.llm.common import mix, small_batches, training_share
 
 BUCKETS = 1 << 16  # hashed n-grams
 ORDERS = (1, 2, 3)  # characters of an n-gram
-SAMPLE = 2000  # labelled documents that the model is fitted on, the lowest by hash
+SAMPLE = 2000  # labelled documents that the model is fitted on, the lowest by hash of each language in turn
+PARTS = 256  # of a language, ranked side by side before its lowest hashes are
 CALIBRATION = 5  # every fifth of them is kept for the temperature
 SLICE = 1 << 18  # characters whose n-grams are looked up at once
 UNKNOWN = "und"
 
 
+def code_points(text: str) -> np.ndarray:
+    """The lower-case text, a space at either end."""
+    return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def slices(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams, by the slice of SLICE characters that their last one lies in: each n-gram once."""
+    for begin in range(0, len(codes), SLICE):
+        end, out = min(begin + SLICE, len(codes)), []
+        for n in ORDERS:
+            part = codes[max(0, begin - n + 1):end].astype(np.uint64)
+            key = np.full(max(0, len(part) - n + 1), n, np.uint64)
+            for i in range(n):
+                key = key * np.uint64(0x110000) + part[i:len(part) - n + 1 + i]
+            out.append(mix(key) % np.uint64(BUCKETS))
+        yield np.concatenate(out).astype(np.int64)
+
+
 def ngrams(text: str) -> np.ndarray:
-    """Buckets of all n-grams of the lower-case text, a space at either end."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
-    for n in ORDERS:
-        key = np.full(max(0, len(codes) - n + 1), n, np.uint64)
-        for i in range(n):
-            key = key * np.uint64(0x110000) + codes[i:len(codes) - n + 1 + i]
-        out.append(mix(key) % np.uint64(BUCKETS))
-    return np.concatenate(out).astype(np.int64)
+    """Buckets of all n-grams of the text."""
+    return np.concatenate(list(slices(code_points(text))))
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +58,7 @@ class Model:
     def scores(self, text: str) -> np.ndarray:
         """Linear scores: weights averaged over the n-grams of the whole text."""
         total, n = np.zeros(len(self.languages)), 0
-        for at in range(0, max(1, len(text)), SLICE):  # long texts by slices that overlap by the longest n-gram
-            part = ngrams(text[at:at + SLICE])
+        for part in slices(code_points(text)):
             total += self.weights[part].sum(axis=0)
             n += len(part)
         return total / n + self.bias
@@ -72,8 +83,33 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *columns], ["doc_id", "lang", "f", "v"])
 
 
-def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> Model:
-    """FTRL-proximal with L1 and L2 over TF-IDF vectors, then a temperature on documents kept aside. texts: their features.
+def _documents_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of this task that hold an n-gram of each bucket; bucket -1: texts with a letter."""
+    seen, here, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool), 0
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            if any(map(str.isalpha, text)):
+                here[:] = False
+                for part in slices(code_points(text)):
+                    here[part] = True
+                seen += here
+                n += 1
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], n))], ["bucket", "n"])
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents of texts (text) that hold an n-gram of each bucket, and their number; at most BUCKETS rows leave a task."""
+    found = texts.select("text").mapInArrow(_documents_by_bucket, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(BUCKETS + 1, np.int64)  # the last one is bucket -1
+    for r in found:
+        seen[r["bucket"]] = r["n"]
+    return seen[:BUCKETS], int(seen[BUCKETS])
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seen: np.ndarray, documents: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> Model:
+    """FTRL-proximal with L1 and L2 over TF-IDF vectors, then a temperature on documents kept aside. texts: their features;
+    seen, documents: the corpus's document frequencies.
 
     Texts without features teach nothing. Labels in code point order; none gives a model that answers und.
     """
@@ -81,8 +117,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: i
     languages = sorted({y for _, y in rows})
     if not rows:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    seen = np.bincount(np.concatenate([f for (f, _), _ in rows]), minlength=BUCKETS)
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    idf = np.log((1 + documents) / (1 + seen)) + 1
     scale = float(np.mean([1 / np.linalg.norm(v * idf[f]) for (f, v), _ in rows]))  # one factor for all: scores stay linear in the text
     k = len(languages)
     z, n, bias = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k)), BUCKETS
@@ -126,17 +161,23 @@ def identify_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row of docs (doc_id, text, lang).
 
     The model learns from at most `sample` documents (a bound on what the driver holds) with a text and a language whose
-    crc32(doc_id) mod 4 is not 2, those with the lowest md5 of the id. It sees texts only. Null texts and texts without a
-    letter are und with score 0, as is everything if nothing can be learned. Repeated rows are judged alike; a null doc_id
-    counts as an empty text in the hash and stays null; other columns are not read; an empty table gives an empty one.
+    crc32(doc_id) mod 4 is not 2: the lowest md5 of the id of each language, languages taking turns, so that a rare one is
+    learned beside a hot one. Document frequencies are those of all such documents. It sees texts only. Null texts and texts
+    without a letter are und with score 0, as is everything if nothing can be learned. Very long texts are read by slices,
+    which give each n-gram once. Repeated rows are judged alike; a null doc_id counts as an empty text in the hash and stays
+    null; other columns are not read; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (training_share(F.col("doc_id"), 4) == 2).alias("held_out"))
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     labelled = docs.where("not held_out and text is not null and lang is not null")
-    ids = labelled.select("doc_id", order.alias("o")).distinct().orderBy("o", "doc_id").limit(sample)
-    taught = labelled.join(F.broadcast(ids.select(F.col("doc_id").alias("id"))), F.expr("doc_id <=> id"), "left_semi")
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    ids = labelled.select("doc_id", "lang", order.alias("o")).distinct()
+    ranked = Window.partitionBy("lang", F.conv(F.substring("o", 1, 4), 16, 10).cast("int") % PARTS).orderBy("o", "doc_id")
+    ids = ids.withColumn("turn", F.row_number().over(ranked)).where(F.col("turn") <= sample)
+    ids = ids.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id")))
+    ids = ids.orderBy("turn", "o", "doc_id", "lang").limit(sample).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
+    taught = labelled.join(F.broadcast(ids), F.expr("doc_id <=> id and lang = l"), "left_semi")
     taught = taught.select("doc_id", "lang", "text").mapInArrow(_featurise, "doc_id long, lang string, f array<int>, v array<float>")
-    taught = taught.groupBy("doc_id").agg(F.min(F.struct("lang", "f", "v")).alias("x")).orderBy("doc_id").select("x.*").collect()
-    model = fit([(np.array(r["f"], np.int64), np.array(r["v"])) for r in taught], [r["lang"] for r in taught])
+    taught = taught.groupBy("doc_id", "lang").agg(F.min(F.struct("f", "v")).alias("x")).orderBy("doc_id", "lang").select("lang", "x.*").collect()
+    model = fit([(np.array(r["f"], np.int64), np.array(r["v"])) for r in taught], [r["lang"] for r in taught], *document_frequencies(labelled))
     return docs.select("doc_id", "text", "held_out").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
