@@ -356,6 +356,11 @@ SELECT day_str, case_idx, control_idx, distance FROM pr WHERE rn = 1"""
 mo AS (SELECT session_id, t, event_id, event_type FROM ev WHERE event_type = 'error')
 SELECT m.session_id, m.event_id AS outcome_id, m.t, m.event_type AS event,
 CASE WHEN m.t - a.t <= {24 * H} THEN a.event_id END AS matched_alert_idx, m.t - a.t AS since_alert
+FROM mo m ASOF LEFT JOIN al a ON m.session_id = a.session_id AND m.t >= a.t"""
+    q["stream_outcomes"] = f"""WITH {EV}, al AS (SELECT session_id, t, max(event_id) AS event_id FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2),
+mo AS (SELECT session_id, t, event_id, event_type FROM ev WHERE event_type = 'error')
+SELECT m.session_id, m.event_id AS outcome_id, m.t, m.event_type AS event,
+CASE WHEN m.t - a.t <= {24 * H} THEN a.event_id END AS matched_alert_idx, CASE WHEN m.t - a.t <= {240 * H} THEN m.t - a.t END AS since_alert
 FROM mo m ASOF LEFT JOIN al a ON m.session_id = a.session_id AND m.t >= a.t"""
     q["positional_zip"] = f"""WITH {EV}, {MK}, {looks(T.BEAT_SPAN)},
 st AS (SELECT p.window_id, e.event_type, e.value, row_number() OVER (PARTITION BY p.window_id, e.event_type ORDER BY e.t) AS rn

@@ -15,7 +15,7 @@ from kinetide.plans import tables as T
 from kinetide.session import cut_lineage, ensure_checkpoint_dir
 from kinetide.sources import packets
 from kinetide.sources.recordings import TIMESTAMP_SOURCES
-from kinetide.streaming import live
+from kinetide.streaming import live, outcomes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -811,6 +811,25 @@ def stream_alerts(spark, sf_dir):
     return _run_stream(spark, live.live_alerts(feed, TOY_MODEL, vector, ["x"], 72 * hour, 6 * hour, T.LEAST, 0.5, 24 * hour, 24 * hour)).drop("n_late")
 
 
+@query
+def stream_outcomes(spark, sf_dir):
+    """Purchases as alerts, errors as marks, joined as streams; a last row far in the future lets every mark leave."""
+    ev = _events_by_id(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark)}/closing-{uuid.uuid4().hex}"
+    kinds = spark.createDataFrame([("purchase",), ("error",)], "event_type string")
+    closing = {"session_id": F.lit(-1), "t": F.lit(4_000_000_000_000_000), "event_id": F.lit(None), "event_type": F.col("event_type")}
+    kinds.select(*(closing[f.name].cast(f.dataType).alias(f.name) for f in ev.schema)).write.parquet(folder)
+    both = ev.unionByName(spark.readStream.schema(ev.schema).parquet(folder))
+    alerts_ = both.where("event_type = 'purchase'").withColumnRenamed("event_id", "alert_idx")
+    marks = both.where("event_type = 'error'").select("session_id", "t", F.col("event_id").alias("outcome_id"), F.col("event_type").alias("event"))
+    return _run_stream(spark, outcomes.stream_outcomes(alerts_, marks, 24 * T.HOUR, 240 * T.HOUR, T.HOUR, per_second=1_000_000)).where("outcome_id is not null")
+
+
+def _events_by_id(spark, sf_dir):
+    raw = spark.readStream.schema(T.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.select(F.col("user_id").alias("session_id"), T.micros("ts").alias("t"), "event_id", "event_type")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Feature tables are read many times by the fits, so they are written once."""
     return cut_lineage(df)
