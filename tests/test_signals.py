@@ -227,3 +227,29 @@ def test_windows_by_hand(spark):
     every = windows.labelled_windows(df, marks, 100, 20, all_negatives=True)
     assert sorted(r.start_t for r in every.where("label = 0 and session_id = 's'").collect()) == free
     assert windows.min_samples(60_000) == 1500
+
+
+def test_labelled_features_add_up_in_time_order(spark, tmp_path):
+    """Events come in reverse order; means, deviations and root mean squares are those of the samples in time order, to the last bit."""
+    from kinetide.plans import queries, tables
+
+    rng = np.random.default_rng(3)
+    rows = [(u * 100 + i, pd.Timestamp("2024-01-05") + pd.Timedelta(hours=2 * i), u, "error" if i == 13 else "view", float(v), "{}")
+            for u in range(40) for i, v in enumerate(np.round(rng.uniform(0, 200, 14), 2))]
+    table = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    table["ts"] = table["ts"].astype("datetime64[us]")
+    table.iloc[::-1].to_parquet(tmp_path / "events.parquet")
+    found = {r.session_id: r for r in queries.labelled_features(spark, str(tmp_path)).where("label = 1").collect()}
+    assert len(found) == 40
+    for u, r in found.items():
+        ev = table[table.user_id == u].sort_values("ts")
+        t = ev["ts"].astype("int64").to_numpy()
+        end = t[-1] - tables.BUFFER
+        x = (ev["value"].to_numpy() - 50.0)[(t >= end - tables.SHORT) & (t < end)]
+        mean = m2 = 0.0
+        for n, v in enumerate(x, 1):
+            before, mean = mean, mean + (v - mean) / n
+            m2 += (v - mean) * (v - before)
+        assert r.x_mean == np.cumsum(x)[-1] / len(x)
+        assert r.x_rms == np.sqrt(np.cumsum(x * x)[-1] / len(x))
+        assert r.x_std == np.sqrt(m2 / len(x))
