@@ -229,6 +229,14 @@ def test_windows_by_hand(spark):
     assert windows.min_samples(60_000) == 1500
 
 
+@pytest.mark.parametrize("x", [[32.620000000000005, -43.82, -32.62, -40.7], [-24.23, -38.01, 24.230000000000004, -46.61]])
+def test_equal_powers_are_told_apart_by_plain_sums(x):
+    """Both frequencies are equal but for rounding; a transform takes the lower one, sums in time order the higher one."""
+    plain = [sum(sum(v * f(2 * np.pi * (k * j % 4) / 4) for j, v in enumerate(x)) ** 2 for f in (np.cos, np.sin)) for k in range(3)]
+    assert dsp.spectrum_stats(np.array(x), 16.0)[0] == 4.0 * int(np.argmax(plain)) == 8.0
+    assert dsp.spectrum_stats(np.zeros(8), 16.0)[0] == 0.0
+
+
 def test_labelled_features_add_up_in_time_order(spark, tmp_path):
     """Events come in reverse order; means, deviations and root mean squares are those of the samples in time order, to the last bit."""
     from kinetide.plans import queries, tables
