@@ -29,6 +29,7 @@ PRIME = (1 << 31) - 1
 CLASS_UNIT, GRADIENT_UNIT, VALUE_UNIT = 1 << 20, 1 << 24, 1 << 30
 CELLS = 1 << 22  # histogram cells that a task holds; with more, it passes on what each batch has
 NODES = 1 << 20  # nodes of a block of models, about
+ROWS_OF_TASK, MOST_OF_TASK = 1 << 11, 1 << 20  # binned rows that are worth a task of their own, and that a task has at most
 ROUNDS_KEPT = 20  # boosting rounds whose trees a pass looks through before margins are written
 AT_ONCE = 1 << 20  # (row, tree) pairs that are looked at together
 POISSON = [math.floor(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
@@ -170,8 +171,16 @@ class _Pass:
         return base
 
 
+def _spread(data: DataFrame, rows: int) -> DataFrame:
+    """Binned rows are few bytes of a file that may be one split; passes need them on all cores."""
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return data.repartition(max(min(cores, -(-rows // ROWS_OF_TASK)), -(-rows // MOST_OF_TASK)))
+
+
 def _columns(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, ...]:
-    bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(b.num_rows, d)
+    packed = b.column("bins").cast(pa.binary())
+    first = int(np.frombuffer(packed.buffers()[1], np.int32)[packed.offset])
+    bins = np.frombuffer(packed.buffers()[2], np.uint8, b.num_rows * d, first).reshape(b.num_rows, d)
     return (*(b.column(c).to_numpy() for c in ("g", "y", "h")), bins)
 
 
@@ -203,11 +212,20 @@ def _histogram(p: _Pass):
                 yield node[row, col], bins[row], np.ones(len(w), np.int64), np.where(y[row] == 0, c, 0), np.where(y[row] == 1, c, 0)
 
     def add(out: np.ndarray, node: np.ndarray, bins: np.ndarray, *values: np.ndarray) -> None:
-        row = np.arange(len(node))
+        row, size = np.arange(len(node)), len(p.chosen) * BINS
+        if size > 4 * len(node):
+            for j in range(k):
+                cell = (node * k + j) * BINS + bins[row, p.chosen[node, j]]
+                for x, v in zip(out, values):
+                    np.add.at(x, cell, v)
+            return
+        # few nodes: whole sums of one feature, exact in doubles as they are integers below 2^53
+        table, weights = out.reshape(3, len(p.chosen), k, BINS), [v.astype(float) for v in values]
+        columns, base = np.ascontiguousarray(bins.T), node * BINS
         for j in range(k):
-            cell = (node * k + j) * BINS + bins[row, p.chosen[node, j]]
-            for x, v in zip(out, values):
-                np.add.at(x, cell, v)
+            cell = base + (columns[j] if p.kind.boosting else columns[p.chosen[node, j], row])
+            for x, v in zip(table, weights):
+                x[:, j] += np.bincount(cell, v, size).astype(np.int64).reshape(-1, BINS)
 
     def sparse(node: np.ndarray, bins: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
         row = np.repeat(np.arange(len(node)), k)
@@ -221,9 +239,10 @@ def _histogram(p: _Pass):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((3, cells), np.int64) if cells <= CELLS else None
+        step = max(1024, min(AT_ONCE // 64 // max(1, len(p.roots)), 1 << 14))
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                for part in entries(b.slice(i, 1024)):
+            for i in range(0, b.num_rows, step):
+                for part in entries(b.slice(i, step)):
                     if held is not None:
                         add(held, *part)
                     elif len(part[0]):
@@ -372,7 +391,7 @@ def fit(rows: DataFrame, names: Sequence[str], design: models.Design, moments: m
     """Ensembles of all models of a design; a missing value counts as the largest. key: what names a row in the bags."""
     names, m, d = list(names), len(design.ids), len(names)
     cuts = cut_points(rows, names) if cuts is None else cuts
-    data = cut_lineage(_binned(rows, names, cuts, group, design.groups, key)) if data is None else data
+    data = cut_lineage(_spread(_binned(rows, names, cuts, group, design.groups, key), int(moments.n.sum()))) if data is None else data
     counts = moments.class_counts(design.weights)
     weights = np.rint(design.weights).astype(np.int64)
     total = counts.sum(1, keepdims=True)
@@ -431,7 +450,7 @@ def fit_and_score(rows: DataFrame, names: Sequence[str], design: models.Design,
                   group: str = "day_str", key: Column | None = None) -> tuple[DataFrame, Grown]:
     names = list(names)
     cuts = cut_points(rows, names)
-    data = cut_lineage(_binned(rows, names, cuts, group, design.groups, key))
+    data = cut_lineage(_spread(_binned(rows, names, cuts, group, design.groups, key), int(moments.n.sum())))
     grown = fit(rows, names, design, moments, kind, balanced, group, key, data, cuts)
     return score(data, grown), grown
 

@@ -125,3 +125,19 @@ def test_resamples_are_grown_together(spark, frame):
     rows = spark.createDataFrame(frame)
     reps = bootstrap.replicates(rows, NAMES, bootstrap.day_draws(rows, 3), bootstrap.tree_scorer(NAMES, lambda: validation.forest(trees=10), True))
     assert reps.count() >= 2 and all(0 <= r.mean_auc <= 1 for r in reps.collect())
+
+
+def test_rows_of_one_split_are_spread(spark, monkeypatch):
+    """A table that is read in one task gives passes with several, and the same trees."""
+    rows = spark.range(0, 9000, 1, 1).selectExpr(
+        "concat('d', id % 3) as day_str", "cast(id * 7919 % 1000 > 480 + id % 5 * 10 as int) as label", "id * 7919 % 1000 / 10D as a", "id % 5 * 1D as b")
+    parts = []
+    kept = forests.cut_lineage
+    monkeypatch.setattr(forests, "cut_lineage", lambda df: parts.append(kept(df)) or parts[-1])
+    moments, design = validation.folds(rows, ["a", "b"])
+    kind = validation.boosting(trees=2)
+    spread = forests.fit(rows, ["a", "b"], design, moments, kind, False).trees
+    assert parts[0].rdd.getNumPartitions() > 1
+    whole = forests.fit(rows, ["a", "b"], design, moments, kind, False, data=parts[0].coalesce(1)).trees
+    nodes = [sorted(zip(t.model, t.tree, t.path, t.feature, t.cut, t.value)) for t in (spread, whole)]
+    assert nodes[0] == nodes[1] and len(nodes[0]) > 6
