@@ -88,24 +88,29 @@ def live_alerts(
     used. State per session is the rolling window and what waits, at most (window + lateness) x sampling rate rows.
     """
     channels = list(channels)
+    names = [part.split()[0] for part in OUTPUT.split(", ")]
+
+    def table(rows: Sequence) -> np.ndarray:
+        return np.array([list(r) for r in rows], dtype=float).reshape(-1, len(channels))
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(frames))
+        # plain arrays: a session has few rows a batch, and a frame costs more than they do
+        parts = [(f[channels].to_numpy(float), f["t"].to_numpy(np.int64), f["event"].to_numpy(object)) for f in frames]
         if state.exists:
             t, v, last_eval, last_fired, last_alert, next_idx, newest, n_late, seen, *held = state.get
-            t, v = list(t), [list(r) for r in v]
-            waited = pd.DataFrame([list(r) for r in held[1]], columns=channels, dtype=float).assign(t=list(held[0]), event=pd.Series(list(held[2]), dtype=object))
-            batch = pd.concat([waited, batch[[*channels, "t", "event"]]]) if len(waited) else batch
+            if len(held[0]):
+                parts.insert(0, (table(held[1]), np.array(held[0], np.int64), np.array(list(held[2]), object)))
         else:
             t, v, last_eval, last_fired, last_alert, next_idx, newest, n_late, seen = [], [], None, None, None, 0, None, 0, None
-        batch = batch.sort_values("t", kind="stable")
-        seen = int(batch["t"].iloc[-1]) if seen is None else max(seen, int(batch["t"].iloc[-1]))
-        held = batch[batch["t"] > seen - lateness] if lateness else batch.iloc[:0]
-        batch = batch.iloc[:len(batch) - len(held)]
+        values, times, events = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(times, kind="stable")
+        values, times, events = values[order], times[order], events[order]
+        seen = int(times[-1]) if seen is None else max(seen, int(times[-1]))
+        taken = int(np.searchsorted(times, seen - lateness, side="right")) if lateness else len(times)
+        kept_t, kept_v = np.concatenate([np.array(t, np.int64), times[:taken]]), np.concatenate([table(v), values[:taken]])
+        low, size = 0, len(t)
         out = []
-        values, times, events = batch[channels].to_numpy(float), batch["t"].to_numpy(), batch["event"].to_numpy()
-        low = 0
-        for i, now in enumerate(int(x) for x in times):
+        for i, now in enumerate(times[:taken].tolist()):
             if newest is not None and now < newest:
                 n_late += 1
                 continue
@@ -115,27 +120,26 @@ def live_alerts(
                 matched = last_alert if since is not None and since <= grace else None
                 out.append((key[0], "outcome", None, now, None, None, None, None, events[i], matched, since, n_late))
                 continue
-            t.append(now)
-            v.append(values[i].tolist())
-            while t[low] < now - window:
+            kept_t[size], kept_v[size] = now, values[i]
+            size += 1
+            while kept_t[low] < now - window:
                 low += 1
             if last_eval is not None and now - last_eval < interval:
                 continue
             last_eval = now
-            if len(t) - low < least:
+            if size - low < least:
                 continue
-            now_t, now_v = np.array(t[low:]), np.array(v[low:], dtype=float)
+            now_t, now_v = kept_t[low:size], kept_v[low:size]
             p = probability(vectorise(now_t, {c: now_v[:, j] for j, c in enumerate(channels)}, now + 1), model)
             hot = p >= threshold
             quiet = hot and last_fired is not None and now - last_fired < cooldown
             if hot and not quiet:
                 last_fired, last_alert = now, next_idx
-            out.append((key[0], "eval", next_idx, now, len(now_t), p, hot and not quiet, quiet, None, None, None, n_late))
+            out.append((key[0], "eval", next_idx, now, len(now_t), None if np.isnan(p) else p, hot and not quiet, quiet, None, None, None, n_late))
             next_idx += 1
-        waiting = (held["t"].astype(int).tolist(), held[channels].to_numpy(float).tolist(), [e if isinstance(e, str) else None for e in held["event"]])
-        state.update((t[low:], v[low:], last_eval, last_fired, last_alert, next_idx, newest, n_late, seen, *waiting))
-        names = [part.split()[0] for part in OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None) if out else pd.DataFrame(columns=names)
+        waiting = (times[taken:].tolist(), values[taken:].tolist(), [e if isinstance(e, str) else None for e in events[taken:]])
+        state.update((kept_t[low:size].tolist(), kept_v[low:size].tolist(), last_eval, last_fired, last_alert, next_idx, newest, n_late, seen, *waiting))
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
     return packets.groupBy("session_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
