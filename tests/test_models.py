@@ -259,3 +259,21 @@ def test_trees_score_every_fold(data):
     assert boost.count() == (frame.day_str == "d1").sum()
     draws = bootstrap.day_draws(rows, 1)
     assert bootstrap.replicates(rows, NAMES, draws, bootstrap.tree_scorer(NAMES, few, True)).count() == 1
+
+
+def test_passes_use_all_cores(spark):
+    """Rows that came in one task are spread, and few rows are not."""
+    rows = spark.range(0, 9000, 1, 1)
+    assert models._spread(rows, 9000).rdd.getNumPartitions() > 1
+    assert models._spread(rows, 100).rdd.getNumPartitions() == 1
+
+
+def test_conditional_rows_are_numbered_once(spark, monkeypatch):
+    """The matched fit reads its rows many times, so their order by time is not found anew each time."""
+    from kinetide.plans import queries
+
+    seen = []
+    kept = queries.validation.conditional
+    monkeypatch.setattr(queries.validation, "conditional", lambda rows, *a, **k: seen.append(rows) or kept(rows, *a, **k))
+    queries.conditional_fold_scores(spark, "/root/testdata/sf0.001")
+    assert "Window" not in seen[0]._jdf.queryExecution().logical().toString()
