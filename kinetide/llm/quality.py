@@ -225,7 +225,7 @@ def good_documents(docs: DataFrame, byte_level: str | None = None, fallback: str
     added, lang = [unused(n, docs) for n in ("script", "per_token", "chars", "words", "kept")], unused("language", docs)
     rows = docs.withColumn(lang, _language(docs))
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k()) for n, k in zip(added, (T.StringType, T.DoubleType, T.LongType, T.LongType, T.BooleanType)))])
-    rows = staged(rows.mapInArrow(_measured_rows(*_paths(byte_level, fallback), added), schema).where(F.col(added[-1])), "fertility")
+    rows = staged(rows.mapInArrow(_measured_rows(*_paths(byte_level, fallback), added), schema).where(F.col(added[-1])), "fertility", "zstd")  # whole texts, on disk as long as the result is read
     return _in_own_band(rows, *added, lang).where(F.col(added[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
